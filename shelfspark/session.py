@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +52,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once per application, so they find
+    it wherever the driver was started."""
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    if root.parent.suffix == ".zip" or not root.is_dir():
+        return  # running from a shipped copy
+    path = Path(tempfile.mkdtemp(prefix="shelfspark-")) / "shelfspark.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(application)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table as a DataFrame."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
