@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfspark.llm import boilerplate, bpe, mojibake, packing, topn, unify, vocabulary
+from shelfspark.llm import boilerplate, bpe, listings, mojibake, packing, topn, unify, vocabulary
 from shelfspark.session import table
 
 
@@ -22,6 +22,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described.unionByName(stated).select("product_id", "field_name", "line_no")
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listing with its group."""
+    return listings.groups(table(spark, sf_dir, "catalog_products"), table(spark, sf_dir, "supplier_capability"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listings.pairs_of(p4_groups(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unify_fields(table(spark, sf_dir, "catalog_products"), "product_id", UNIFIED_FIELDS).filter("changed").select("product_id", "field_name")
 
@@ -61,7 +70,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found,
+    "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found,
     "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
