@@ -81,7 +81,7 @@ def _tries() -> tuple[dict, dict, dict, dict]:
     prefixes: dict[str, list] = {"": [(1.0, 0.0)]}
     for factor, names in PREFIXES.items():
         for n in names:
-            prefixes.setdefault(n.lower() if len(n) > 1 else n, []).append((factor, 0.5 + 0.2 * len(n)))
+            prefixes.setdefault(n.lower() if len(n) > 1 else n, []).append((factor, 0.3 + 0.1 * len(n)))
     roots: dict[str, list] = {}
     for names, (dimension, factor) in ROOTS.items():
         for n in names:
