@@ -22,10 +22,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Observations of one entity beyond which its history is cut into segments.
 HOT_ROWS = 200_000
@@ -66,55 +66,114 @@ def _neighbours(at: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.array(before, int), np.array(after, int), np.array(same, int)
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Observations sorted by (entity, segment, at, seq) to rows with the neighbours' keys."""
-    rest: pd.DataFrame | None = None
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ent, seg = pdf["_e"].to_numpy(), pdf["_seg"].to_numpy()
-        at, seq = pdf["_at"].to_numpy(), pdf["_seq"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, (ent[1:] != ent[:-1]) | (seg[1:] != seg[:-1])])
-        out = {k: np.full(len(pdf), -1, int) for k in ("b", "a", "s")}
-        for lo, hi in zip(starts, np.r_[starts[1:], len(pdf)]):
-            if hi - lo == 1:
-                continue
-            b, a, s = _neighbours(at[lo:hi], seq[lo:hi])
-            for k, v in (("b", b), ("a", a), ("s", s)):
-                out[k][lo:hi] = np.where(v >= 0, v + lo, -1)
-
-        def pick(col: np.ndarray, idx: np.ndarray) -> pd.array:
-            values = pd.array(col[np.maximum(idx, 0)], dtype="Int64")
-            values[idx < 0] = pd.NA
-            return values
-
-        return pdf.assign(
-            _before_seq=pick(seq, out["b"]), _before_at=pick(at, out["b"]),
-            _after_at=pick(at, out["a"]), _same_seq=pick(seq, out["s"]),
-        )
-
-    for pdf in frames:
-        if rest is not None:
-            pdf = pd.concat([rest, pdf], ignore_index=True)
-        if pdf.empty:
+def _groups(ent: np.ndarray, seg: np.ndarray) -> np.ndarray:
+    """Where the groups of sorted rows start, and their end."""
+    if not len(ent):
+        return np.array([0])
+    return np.r_[0, np.flatnonzero((ent[1:] != ent[:-1]) | (seg[1:] != seg[:-1])) + 1, len(ent)]
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of sorted rows that end where a group ends; (entity, segment) are columns 0 and 1."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ent, seg = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        cut = int(_groups(ent, seg)[-2])
+        first = held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (ent[0], seg[0])
+        if held and (first or cut):
+            done = held if first else [*held, batch.slice(0, int(_groups(ent, seg)[1]))]
+            yield pa.Table.from_batches(done)
+            start = 0 if first else int(_groups(ent, seg)[1])
+        else:
+            start = 0
+        if held and not first and not cut:
+            held.append(batch)
             continue
-        last = (pdf["_e"] == pdf["_e"].iloc[-1]) & (pdf["_seg"] == pdf["_seg"].iloc[-1])
-        cut = len(pdf) - int(last.to_numpy()[::-1].argmin() or (len(pdf) if last.all() else 0))
-        if cut > 0:
-            yield solve(pdf.iloc[:cut].reset_index(drop=True))
-        rest = pdf.iloc[cut:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield solve(rest)
-
-
-def _segments(obs: DataFrame, hot_rows: int) -> tuple[DataFrame, bool]:
-    """Adds ``_seg``: 0, or for hot entities the number of the piece along the axis of validity."""
-    hot = obs.groupBy("_e").agg(F.count("*").alias("n"), F.approx_percentile("_at", F.lit([i / 64 for i in range(1, 64)])).alias("cuts")).filter(F.col("n") > hot_rows)
-    rows = hot.collect()  # at most (all rows / hot_rows) entities
-    if not rows:
-        return obs.withColumn("_seg", F.lit(0)), False
-    cuts = obs.sparkSession.createDataFrame([(r["_e"], sorted(set(r["cuts"]))) for r in rows], "_e long, cuts array<long>")
-    seg = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("_at"))), F.lit(0))
-    return obs.join(F.broadcast(cuts), "_e", "left").withColumn("_seg", F.when(F.col("cuts").isNull(), 0).otherwise(seg)).drop("cuts"), True
+        if cut > start:
+            yield pa.Table.from_batches([batch.slice(start, cut - start)])
+        held = [batch.slice(max(start, cut))]
+    if held and sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held)
+
+
+def _unrepeated(table: pa.Table) -> pa.Table:
+    """Of rows of one entity with one seq the first (the one with the smallest instant)."""
+    ent, seq = table.column("_e").to_numpy(), table.column("_seq").to_numpy()
+    order = np.lexsort((np.arange(len(seq)), seq, ent))
+    again = np.r_[False, (ent[order][1:] == ent[order][:-1]) & (seq[order][1:] == seq[order][:-1])] if len(seq) else np.array([], bool)
+    return table.take(np.sort(order[~again])) if again.any() else table
+
+
+def _solve(table: pa.Table) -> tuple[np.ndarray, ...]:
+    ent, seg = table.column("_e").to_numpy(), table.column("_seg").to_numpy()
+    at, seq = table.column("_at").to_numpy(), table.column("_seq").to_numpy()
+    before, after, same = (np.full(len(ent), -1, int) for _ in range(3))
+    bounds = _groups(ent, seg)
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if hi - lo > 1:
+            for to, v in zip((before, after, same), _neighbours(at[lo:hi], seq[lo:hi])):
+                to[lo:hi] = np.where(v >= 0, v + lo, -1)
+    return ent, at, seq, before, after, same
+
+
+def _known(values: np.ndarray, index: np.ndarray) -> pa.Array:
+    return pa.array(values[np.maximum(index, 0)] if len(values) else values, pa.int64(), mask=index < 0)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted observations to observations with the keys of their neighbours."""
+    for table in _whole_groups(batches):
+        table = _unrepeated(table)
+        _, at, seq, before, after, same = _solve(table)
+        out = table.select(["_e", "_seg", "_at", "_seq"])
+        for name, values, index in (("_before_seq", seq, before), ("_before_at", at, before), ("_after_at", at, after), ("_same_seq", seq, same)):
+            out = out.append_column(name, _known(values, index))
+        yield from out.to_batches()
+
+
+def _sweep_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted observations of whole entities to the rows of their ledgers."""
+    for table in _whole_groups(batches):
+        table = _unrepeated(table)
+        ent, at, seq, before, after, same = _solve(table)
+        n = np.arange(len(ent))
+        split, gone = np.flatnonzero((before >= 0) & (same < 0)), np.flatnonzero(same >= 0)
+        # what happens to an observation: it opens its row, its row is cut, it is replaced
+        of = np.concatenate([n, before[split], same[gone]])
+        when = np.concatenate([seq, seq[split], seq[gone]])
+        end = np.concatenate([after, split, np.full(len(gone), -1)])
+        closes = np.concatenate([np.zeros(len(n) + len(split), bool), np.ones(len(gone), bool)])
+        order = np.lexsort((when, of))
+        of, when, end, closes = of[order], when[order], end[order], closes[order]
+        last = np.r_[of[1:] != of[:-1], True]
+        until = pa.array(np.r_[when[1:], 0], pa.int64(), mask=last)
+        # versions: an instant's newest observation against that of the instant before
+        held = np.flatnonzero(np.r_[(ent[1:] != ent[:-1]) | (at[1:] != at[:-1]), True])
+        starts = np.zeros(len(n), bool)
+        fresh = np.r_[True, ent[held[1:]] != ent[held[:-1]]]
+        state = [c for c in table.column_names if c.startswith("s")]
+        for c in state:
+            a, b = (table.column(c).combine_chunks().take(pa.array(i)) for i in (held[1:], held[:-1]))
+            equal = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            fresh[1:] |= ~equal.to_numpy(zero_copy_only=False).astype(bool)
+        starts[held] = fresh
+        rows = ~closes
+        take = pa.array(of[rows])
+        columns = [pa.array(ent[of[rows]]), pa.array(at[of[rows]]), _known(at, end[rows]), *[table.column(c).combine_chunks().take(take) for c in state], pa.array(seq[of[rows]]), pa.array(when[rows]), until.filter(pa.array(rows)), pa.array(starts[of[rows]] & last[rows])]
+        yield from pa.Table.from_arrays(columns, ["_e", "valid_from", "valid_to", *state, "_by", "recorded_from", "recorded_to", "starts_version"]).to_batches()
+
+
+def _hot(obs: DataFrame, hot_rows: int) -> list:
+    """(entity, cuts) of the entities with more than ``hot_rows`` observations: at most the
+    ``hot_rows``-th part of all rows. The cuts are found for these alone."""
+    counts = obs.groupBy("_e").count().filter(F.col("count") > hot_rows).select("_e")
+    ids = [r["_e"] for r in counts.collect()]
+    if not ids:
+        return []
+    some = obs.filter(F.col("_e").isin(ids)).groupBy("_e").agg(F.approx_percentile("_at", F.lit([i / 64 for i in range(1, 64)])).alias("cuts"))
+    return [(r["_e"], sorted(set(r["cuts"]))) for r in some.collect()]
 
 
 def _across(near: DataFrame) -> DataFrame:
@@ -145,58 +204,59 @@ def _across(near: DataFrame) -> DataFrame:
     )
 
 
+def _ledger_of_hot(obs: DataFrame, hot: list, state: list[str]) -> DataFrame:
+    """The ledger of entities cut into segments."""
+    cuts = obs.sparkSession.createDataFrame(hot, "_e long, cuts array<long>")
+    obs = obs.groupBy("_e", "_seq").agg(F.min(F.struct("_at", *state)).alias("r")).select("_e", "r._at", "_seq", *[F.col(f"r.{c}").alias(c) for c in state])
+    seg = F.size(F.filter("cuts", lambda c: c < F.col("_at")))
+    keys = obs.join(F.broadcast(cuts), "_e").select("_e", seg.alias("_seg"), "_at", "_seq")
+    near = keys.repartition("_e", "_seg").sortWithinPartitions("_e", "_seg", "_at", "_seq").mapInArrow(_sweep, "_e long, _seg int, _at long, _seq long, _before_seq long, _before_at long, _after_at long, _same_seq long")
+    near = _across(near)
+    own = near.select("_e", F.col("_seq").alias("by"), F.col("_at").alias("vf"), F.col("_after_at").alias("vt"), F.col("_seq").alias("rf"))
+    cut = near.filter("_before_seq is not null and _same_seq is null").select("_e", F.col("_before_seq").alias("by"), F.col("_before_at").alias("vf"), F.col("_at").alias("vt"), F.col("_seq").alias("rf"))
+    closed = near.filter("_same_seq is not null").select("_e", F.col("_same_seq").alias("by"), F.lit(None).cast("long").alias("vf"), F.lit(None).cast("long").alias("vt"), F.col("_seq").alias("rf"))
+    spans = own.unionByName(cut).unionByName(closed)
+    spans = spans.withColumn("rt", F.lead("rf").over(Window.partitionBy("_e", "by").orderBy("rf"))).filter("vf is not null")
+    rows = spans.join(obs.select("_e", F.col("_seq").alias("by"), *state), ["_e", "by"])
+    # versions within a day, the days' edges through one small row each
+    now = rows.filter("rt is null").select("_e", "by", F.col("vf").alias("_at"), F.struct(*state).alias("_s"), F.floor(F.col("vf") / 86_400_000_000).alias("_b"))
+    now = now.withColumn("_p", F.lag(F.struct("_s")).over(Window.partitionBy("_e", "_b").orderBy("_at")))
+    edges = now.groupBy("_e", "_b").agg(F.max_by("_s", "_at").alias("_l"))
+    edges = edges.withColumn("_q", F.lag(F.struct(F.col("_l").alias("_s"))).over(Window.partitionBy("_e").orderBy("_b"))).drop("_l")
+    same = F.col("_s").eqNullSafe(F.coalesce(F.col("_p"), F.col("_q"))["_s"])
+    first = F.col("_p").isNull() & F.col("_q").isNull()
+    starts = now.join(edges, ["_e", "_b"]).select("_e", "by", (first | ~same).alias("starts"))
+    return rows.join(starts, ["_e", "by"], "left").select("_e", F.col("vf").alias("valid_from"), F.col("vt").alias("valid_to"), *state, F.col("by").alias("_by"), F.col("rf").alias("recorded_from"), F.col("rt").alias("recorded_to"), (F.coalesce("starts", F.lit(False)) & F.col("rt").isNull()).alias("starts_version"))
+
+
 def ledger(observations: DataFrame, entity: str, at: str, seq: str, state: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The bitemporal ledger of ``observations``.
 
-    entity: bigint key; at: microseconds of validity; seq: bigint order of recording (of an entity's
-    rows with one seq the smallest instant and state counts);
-    state: the columns kept as the state. Rows whose entity, instant or seq is null are left out;
-    an empty input gives an empty ledger; other columns are ignored, so their names can't clash.
+    entity: bigint key; at: microseconds of validity; seq: bigint order of recording (of an
+    entity's rows with one seq that with the smallest instant counts); state: the columns kept as
+    the state, without NaN. Rows whose entity, instant or seq is null are left out; an empty input
+    gives an empty ledger; other columns are ignored, so their names can't clash.
 
     Result: entity, valid_from, valid_to (null: open), the state's columns, seq of the observation
-    that stated it, recorded_from and recorded_to (seq; null: still held).
+    that stated it, recorded_from and recorded_to (seq; null: still held), starts_version: whether
+    the row is held and its state differs from that of the instant before. All entities but hot
+    ones need one exchange.
     """
-    held = F.struct(*[F.col(c).alias(f"s{i}") for i, c in enumerate(state)])
-    obs = (
-        observations.select(F.col(entity).cast("long").alias("_e"), F.col(at).cast("long").alias("_at"), F.col(seq).cast("long").alias("_seq"), held.alias("_state"))
-        .dropna(subset=["_e", "_at", "_seq"])
-        .groupBy("_e", "_seq").agg(F.min(F.struct("_at", "_state")).alias("r"))  # repeated rows count once
-        .select("_e", F.col("r._at").alias("_at"), "_seq", F.col("r._state").alias("_state"))
-    )
-    keys, hot = _segments(obs.select("_e", "_at", "_seq"), hot_rows)
-    near_schema = T.StructType(keys.schema.fields + [T.StructField(c, T.LongType()) for c in ("_before_seq", "_before_at", "_after_at", "_same_seq")])
-    near = keys.repartition("_e", "_seg").sortWithinPartitions("_e", "_seg", "_at", "_seq").mapInPandas(_sweep, near_schema)
+    names = [f"s{i}" for i in range(len(state))]
+    obs = observations.select(
+        F.col(entity).cast("long").alias("_e"), F.col(at).cast("long").alias("_at"), F.col(seq).cast("long").alias("_seq"), *[F.col(c).alias(n) for c, n in zip(state, names)]
+    ).dropna(subset=["_e", "_at", "_seq"])
+    kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
+    hot = _hot(obs.select("_e", "_at"), hot_rows)
+    most = obs.filter(~F.col("_e").isin([e for e, _ in hot])) if hot else obs
+    schema = "_e long, valid_from long, valid_to long, " + "".join(f"{n} {kinds[n]}, " for n in names) + "_by long, recorded_from long, recorded_to long, starts_version boolean"
+    rows = most.select("_e", F.lit(0).alias("_seg"), "_at", "_seq", *names).repartition("_e").sortWithinPartitions("_e", "_at", "_seq").mapInArrow(_sweep_whole, schema)
     if hot:
-        near = _across(near)
-    # An observation opens its own row and, where it split a period, the shortened row before it.
-    own = near.select("_e", F.col("_seq").alias("by"), F.col("_at").alias("vf"), F.col("_after_at").alias("vt"), F.col("_seq").alias("rf"))
-    cut = near.filter("_before_seq is not null and _same_seq is null").select("_e", F.col("_before_seq").alias("by"), F.col("_before_at").alias("vf"), F.col("_at").alias("vt"), F.col("_seq").alias("rf"))
-    closed = near.filter("_same_seq is not null").select("_e", F.col("_same_seq").alias("by"), F.lit(None).cast("long").alias("vf"), F.lit(None).cast("long").alias("vt"), F.col("_seq").alias("rf"))
-    spans = own.unionByName(cut).unionByName(closed)
-    nxt = F.lead("rf").over(Window.partitionBy("_e", "by").orderBy("rf"))
-    spans = spans.withColumn("rt", nxt).filter("vf is not null")
-    state_of = obs.select("_e", F.col("_seq").alias("by"), "_state")
-    return spans.join(state_of, ["_e", "by"]).select(
-        F.col("_e").alias(entity), F.col("vf").alias("valid_from"), F.col("vt").alias("valid_to"),
-        *[F.col(f"_state.s{i}").alias(c) for i, c in enumerate(state)],
-        F.col("by").alias(seq), F.col("rf").alias("recorded_from"), F.col("rt").alias("recorded_to"),
-    )
+        rows = rows.unionByName(_ledger_of_hot(obs.filter(F.col("_e").isin([e for e, _ in hot])), hot, names))
+    return rows.withColumnsRenamed({"_e": entity, "_by": seq} | dict(zip(names, state)))
 
 
-def versions(held: DataFrame, entity: str, state: list[str], bucket_micros: int = 86_400_000_000) -> DataFrame:
-    """The versions the ledger holds now: runs of equal states become one row each.
-
-    A version starts at the entity's first row and wherever a state's column differs from the row
-    before, null being a value of its own. Rows are compared within buckets of ``bucket_micros``
-    (a day: at most one row per microsecond-distinct instant), the buckets' edges through one small
-    row per bucket, so a hot entity isn't gathered in one task.
-    """
-    now = held.filter("recorded_to is null").select(F.col(entity).alias("_e"), F.col("valid_from").alias("_at"), F.struct(*state).alias("_s"))
-    now = now.withColumn("_b", F.floor(F.col("_at") / bucket_micros))
-    within = Window.partitionBy("_e", "_b").orderBy("_at")
-    now = now.withColumn("_p", F.lag(F.struct("_s")).over(within))
-    edges = now.groupBy("_e", "_b").agg(F.max_by("_s", "_at").alias("_l"))
-    edges = edges.withColumn("_q", F.lag(F.struct(F.col("_l").alias("_s"))).over(Window.partitionBy("_e").orderBy("_b"))).drop("_l")
-    same = F.col("_s").eqNullSafe(F.coalesce(F.col("_p"), F.col("_q"))["_s"])
-    first = F.col("_p").isNull() & F.col("_q").isNull()
-    return now.join(edges, ["_e", "_b"]).filter(first | ~same).select(F.col("_e").alias(entity), F.col("_at").alias("valid_from"), *[F.col(f"_s.{c}").alias(c) for c in state])
+def versions(held: DataFrame, entity: str, state: list[str]) -> DataFrame:
+    """The versions the ledger holds now, runs of equal states as one row each: entity,
+    valid_from, the state. Null is a value of its own."""
+    return held.filter("recorded_to is null and starts_version").select(entity, "valid_from", *state)
