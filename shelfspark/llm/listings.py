@@ -30,15 +30,18 @@ from pyspark.sql import functions as F
 from shelfspark.llm.unify import unify
 from shelfspark.llm.vocabulary import ALIASES, _plain, edits, transliterate
 from shelfspark.operators.units import AXES, _name_sizes, _UNIT_KEY, resolve_sizes, stated_unit, to_mm
+from shelfspark.operators.vectors import search
 from shelfspark.session import cut_lineage
 
 #: Rows of the bounded sample the encoder and the lists' centres are fitted on.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 16_000
 DIM, BUCKETS = 48, 1 << 15
 NEIGHBOURS = 32
-#: Rows of a list that one task compares with; longer lists are cut.
-LIST_ROWS = 4_000
-RECALL = 0.97
+#: Lists that lie near each other and are searched in one task; rows of them that one task holds.
+LISTS_A_CELL, CELL_ROWS = 16, 20_000
+#: Shares of the exact neighbours the probed lists must hold: of those that would be linked, and
+#: of the ten nearest whatever they are.
+LINKED, NEAREST = 0.999, 0.92
 SIZE_TOLERANCE_MM = 4
 
 _CODE = regex.compile(r"(?<![\p{L}\d])(\p{Lu}{2,4})[ ]?(\d{6,8})[-/ .]?(\d\d)(\p{Lu}{2})?(-?SP)?(?![\p{L}\d])")
@@ -72,13 +75,19 @@ def _skeleton(word: str) -> str:
     return regex.sub(r"(.)\1", r"\1", w)
 
 
+@lru_cache(maxsize=1)
+def _stop_words() -> frozenset[str]:
+    """Skeletons of the words that name kinds or fill titles."""
+    kinds = {w for names in ALIASES["category"].values() for n in names for w in _plain(n).split()}
+    kinds |= {"светильник", "светильники", "лампа", "лампы", "подсветка", "зеркала", "потолочная", "downlight", "spotlight", "ceiling", "wall", "table", "floor", "outdoor", "mirror", "picture", "linear", "track", "recessed", "surface", "pendant", "hanging", "sconce"}
+    return frozenset(_skeleton(w) for w in [*kinds, *FILLERS])
+
+
 class Reader:
     """Reads what identifies the product off a listing."""
 
     def __init__(self, brands: list[str]) -> None:
-        kinds = {w for names in ALIASES["category"].values() for n in names for w in _plain(n).split()}
-        kinds |= {"светильник", "светильники", "лампа", "лампы", "подсветка", "зеркала", "потолочная", "downlight", "spotlight", "ceiling", "wall", "table", "floor", "outdoor", "mirror", "picture", "linear", "track", "recessed", "surface", "pendant", "hanging", "sconce"}
-        self.stop = {_skeleton(w) for w in [*kinds, *FILLERS]}
+        self.stop = _stop_words()
         self.brands = {_skeleton(w) for b in brands for w in _plain(b).split() if len(w) >= 3}
         self.brand_letters = [(b, set(b)) for b in sorted(self.brands) if len(b) >= 4]
         self.known: dict[str, bool] = {}
@@ -196,41 +205,52 @@ def complete(listings: DataFrame) -> DataFrame:
     return both.withColumns(filled | {"series": series}).drop("_size", "_height", "_watt", "_colour", "_series")
 
 
-def grams(title: str, code: str | None, size: float | None, watt: float | None, colour: str | None, series: list[str], spare: bool) -> list[int]:
-    """Hashed subwords and values of a listing; what the encoder sums up."""
-    out = []
+def grams(title: str, code: str | None, size: float | None, watt: float | None, colour: str | None, series: list[str], spare: bool) -> np.ndarray:
+    """Hashed subwords and values of a listing; what the encoder sums up. Words that only name a
+    kind or fill the title are left out; the code's model stands in where no series is named."""
+    out: list[int] = []
     for w in _WORDS.findall(_NUMBERED.sub(" ", title)):
-        s = _skeleton(w)
-        out.append("w" + s)
-        p = f"<{s}>"
-        out += [p[i : i + 4] for i in range(len(p) - 3)]
+        word = _skeleton(w)
+        if word not in _stop_words():
+            out += _word_grams(word)
     for s in series:
-        out += ["s" + s, "t" + s[:5], "u" + s[-5:]]
-    if code:
-        out += ["c" + code, "b" + code.split("-")[0], "m" + code[:3]]
+        out += [*[_bucket("s" + s)] * 3, _bucket("t" + s[:5]), _bucket("u" + s[-5:])]
+    if code and not series:
+        out += [_bucket("b" + code.split("-")[0])] * 3
     if size is not None and size == size:
-        out += [f"z{round(size / 10)}"] * 2
+        out += [_bucket(f"z{round(size / 10)}")] * 3
     if watt is not None and watt == watt:
-        out += [f"p{watt:g}"] * 2
+        out += [_bucket(f"p{watt:g}")] * 3
     if colour:
-        out += ["k" + colour] * 2
+        out += [_bucket("k" + colour)] * 3
     if spare:
-        out += ["spare"] * 3
-    return [zlib.crc32(g.encode()) % BUCKETS for g in out]
+        out += [_bucket("spare")] * 3
+    return np.array(out or [0], np.int32)
+
+
+@lru_cache(maxsize=200_000)
+def _bucket(gram: str) -> int:
+    return zlib.crc32(gram.encode()) % BUCKETS
+
+
+@lru_cache(maxsize=200_000)
+def _word_grams(word: str) -> tuple[int, ...]:
+    p = f"<{word}>"
+    return tuple(zlib.crc32(g.encode()) % BUCKETS for g in ("w" + word, *(p[i : i + 4] for i in range(len(p) - 3))))
 
 
-def _sums(bags: list[list[int]], weights: np.ndarray) -> np.ndarray:
-    """Unit vectors of bags of buckets."""
-    if not bags:
-        return np.zeros((0, weights.shape[1]), np.float32)
-    sizes = np.fromiter((max(1, len(b)) for b in bags), np.int64, len(bags))
-    flat = np.fromiter((i for b in bags for i in (b or [0])), np.int64, int(sizes.sum()))
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    v = np.add.reduceat(weights[flat], starts, axis=0)
-    return (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+def _sums(bags: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
+    """Unit vectors of bags of buckets, a few thousand at a time."""
+    out = np.zeros((len(bags), weights.shape[1]), np.float32)
+    for lo in range(0, len(bags), 2048):
+        part = bags[lo : lo + 2048]
+        starts = np.concatenate(([0], np.cumsum([len(b) for b in part])[:-1]))
+        v = np.add.reduceat(weights[np.concatenate(part)], starts, axis=0)
+        out[lo : lo + 2048] = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    return out
 
 
-def train(bags: list[list[int]], labels: list[str], steps: int = 300, batch: int = 192, seed: int = 7) -> np.ndarray:
+def train(bags: list[np.ndarray], labels: list[str], steps: int = 300, batch: int = 192, seed: int = 7) -> np.ndarray:
     """Contrastive training: two listings of one code attract, the batch's others repel. Batches
     hold neighbouring codes, so variants of one model are the hard negatives."""
     rng = np.random.default_rng(seed)
@@ -256,14 +276,12 @@ def train(bags: list[list[int]], labels: list[str], steps: int = 300, batch: int
         ga, gb = g @ vb, g.T @ va
         for bag, v, grad in ((left, va, ga), (right, vb, gb)):
             grad = grad - (grad * v).sum(1, keepdims=True) * v  # along the unit sphere
-            sizes = [max(1, len(b)) for b in bag]
-            flat = np.fromiter((i for b in bag for i in (b or [0])), np.int64, sum(sizes))
-            per = np.repeat(grad / np.sqrt(np.array(sizes))[:, None], sizes, axis=0)
-            total = np.zeros_like(weights)
-            np.add.at(total, flat, per.astype(np.float32))
-            touched = np.unique(flat)
-            scale[touched, 0] += (total[touched] ** 2).sum(1)
-            weights[touched] -= rate * total[touched] / np.sqrt(scale[touched])
+            sizes = np.array([len(b) for b in bag])
+            flat, places = np.unique(np.concatenate(bag), return_inverse=True)
+            total = np.zeros((len(flat), DIM), np.float32)
+            np.add.at(total, places, np.repeat((grad / np.sqrt(sizes)[:, None]).astype(np.float32), sizes, axis=0))
+            scale[flat, 0] += (total**2).sum(1)
+            weights[flat] -= rate * total / np.sqrt(scale[flat])
     return weights
 
 
@@ -280,64 +298,88 @@ def kmeans(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return centres
 
 
-def tune_probes(vectors: np.ndarray, centres: np.ndarray, wanted: float = RECALL, queries: int = 400, k: int = 10) -> tuple[int, float]:
-    """The fewest lists to probe that find the wanted share of exact neighbours; that share."""
-    q = vectors[: min(queries, len(vectors))]
-    sims = q @ vectors.T
-    exact = np.argsort(-sims, axis=1, kind="stable")[:, : min(k, len(vectors))]
+def tune_probes(vectors: np.ndarray, centres: np.ndarray, agree, queries: int = 1000, k: int = NEIGHBOURS) -> tuple[int, float, float]:
+    """The fewest lists to probe that hold ``LINKED`` of the exact neighbours ``agree`` (row
+    numbers of queries, of neighbours) doesn't veto, and ``NEAREST`` of the ten nearest; both
+    shares as measured."""
+    n = len(vectors)
     of = (vectors @ centres.T).argmax(1)
-    order = np.argsort(-(q @ centres.T), axis=1)
-    probes, share = 1, 0.0
-    while True:
-        hit = (of[exact][:, :, None] == order[:, None, :probes]).any(2)
-        share = float(hit.mean())
-        if share >= wanted or probes >= len(centres):
-            return min(probes, len(centres)), share
-        probes *= 2
+    linked, nearest = [np.zeros(0, int)], [np.zeros(0, int)]
+    for lo in range(0, min(queries, n), 100):
+        q = vectors[lo : lo + 100]
+        sims = q @ vectors.T
+        sims[np.arange(len(q)), np.arange(lo, lo + len(q))] = -2
+        top = min(k, n)
+        best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
+        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
+        i, j = np.repeat(np.arange(lo, lo + len(q)), top), best.ravel()
+        good = (i != j) & agree(i, j)
+        near = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
+        linked.append(near[i[good] - lo, of[j[good]]])
+        nearest.append(np.take_along_axis(near, of[best[:, :10]], 1).ravel())
+    a, b = np.concatenate(linked), np.concatenate(nearest)
+    share = lambda r, p: float((r < p).mean()) if len(r) else 1.0
+    probes = 1
+    while probes < len(centres) and (share(a, probes) < LINKED or share(b, probes) < NEAREST):
+        probes += 1
+    return probes, share(a, probes), share(b, probes)
 
 
 class Index(NamedTuple):
     weights: np.ndarray
     centres: np.ndarray
+    cell: np.ndarray  # of every list
     probes: int
-    recall: float
+    linked: float
+    nearest: float
 
 
-def fit(listings: DataFrame, rows: int, sample: int = SAMPLE_ROWS) -> Index:
-    """Encoder, centres and number of probes, fitted on at most ``sample`` rows in the order of a
-    hash of their id; ``rows`` is the number of listings to be indexed."""
-    got = listings.orderBy(F.xxhash64("product_id")).limit(sample).toPandas()
+def _bags(pdf: pd.DataFrame, coded: bool = True) -> list[np.ndarray]:
     number = lambda x: None if x is None or x != x else float(x)
-    bags = [grams(t or "", c, number(z), number(w), k, list(s) if s is not None else [], bool(p)) for t, c, z, w, k, s, p in zip(got["title"], got["code"], got["size"], got["watt"], got["colour"], got["series"], got["spare"])]
-    labelled = [i for i, c in enumerate(got["code"]) if c]
-    # the code itself is left out of the training views, so the words and values are learnt
-    blind = [grams(got["title"][i] or "", None, number(got["size"][i]), number(got["watt"][i]), got["colour"][i], list(got["series"][i]), bool(got["spare"][i])) for i in labelled]
-    weights = train(blind, [got["code"][i] for i in labelled])
-    vectors = _sums(bags, weights)
-    centres = kmeans(vectors, max(1, round(rows**0.5))) if len(vectors) else np.zeros((1, DIM), np.float32)
-    probes, share = tune_probes(vectors, centres) if len(vectors) else (1, 1.0)
-    return Index(weights, centres, probes, share)
+    return [grams(t or "", c if coded else None, number(z), number(w), k, list(s) if s is not None else [], bool(p)) for t, c, z, w, k, s, p in zip(pdf["title"], pdf["code"], pdf["size"], pdf["watt"], pdf["colour"], pdf["series"], pdf["spare"])]
 
 
-_KEYS = "code_h bigint, spare boolean, size double, height double, watt double, colour string, series array<bigint>"
+def fit(listings: DataFrame, rows: int, sample: int = SAMPLE_ROWS) -> Index:
+    """Encoder, centres and number of probes, fitted on at most ``sample`` rows in the order of a
+    hash of their code (whole groups, so the sample has pairs to learn from); ``rows`` is the
+    number of listings to be indexed."""
+    got = listings.orderBy(F.xxhash64(F.coalesce("code", F.array_join("series", " "))), "product_id").limit(sample).toPandas()
+    if got.empty:
+        return Index(np.zeros((BUCKETS, DIM), np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), 1, 1.0, 1.0)
+    # the code is left out of the views that are trained on, so the words and values are learnt
+    labelled = got[got["code"].notna()]
+    weights = train(_bags(labelled, coded=False), labelled["code"].tolist())
+    vectors = _sums(_bags(got), weights)
+    centres = kmeans(vectors, max(1, round(rows**0.5)))
+    got = got.assign(code_h=[None if c is None else zlib.crc32(c.encode()) + 1 for c in got["code"]], series=[[zlib.crc32(x.encode()) + 1 for x in s] for s in got["series"]])
+    keys = _columns(got)
+    mixed = np.random.default_rng(7).permutation(len(vectors))
+    keys = {c: v[mixed] for c, v in keys.items()}
+    tuned = tune_probes(vectors[mixed], centres, lambda i, j: _agree(keys, i, keys, j))
+    cells = kmeans(centres, max(1, round(len(centres) / LISTS_A_CELL)))
+    return Index(weights, centres, (centres @ cells.T).argmax(1), *tuned)
 
 
 def encode(listings: DataFrame, index: Index) -> DataFrame:
-    """Vectors of distinct listings with their nearest lists, nearest first: rid is the smallest
-    id of listings that are copies of one another."""
+    """Vectors of distinct listings (half precision), the list and cell they are kept in, and the
+    lists they ask, by cell: rid is the smallest id of listings that are copies of one another."""
     distinct = listings.groupBy("title", "code", "spare", "size", "height", "watt", "colour", "series").agg(F.min("product_id").alias("rid"))
     spread = distinct.sparkSession.sparkContext.broadcast(index)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ix = spread.value
         for pdf in frames:
-            number = lambda x: None if x is None or x != x else float(x)
-            bags = [grams(t or "", c, number(z), number(w), k, list(s) if s is not None else [], bool(p)) for t, c, z, w, k, s, p in zip(pdf["title"], pdf["code"], pdf["size"], pdf["watt"], pdf["colour"], pdf["series"], pdf["spare"])]
-            v = _sums(bags, ix.weights)
-            lists = np.argsort(-(v @ ix.centres.T), axis=1, kind="stable")[:, : ix.probes].astype(np.int32)
-            yield pd.DataFrame({"rid": pdf["rid"], "vec": list(v), "lists": list(lists)})
-
-    vectors = distinct.select("rid", "title", "code", "size", "watt", "colour", "series", "spare").mapInPandas(run, "rid bigint, vec array<float>, lists array<int>")
+            v = _sums(_bags(pdf), ix.weights)
+            near = v @ ix.centres.T
+            lists = np.argpartition(-near, ix.probes - 1, axis=1)[:, : ix.probes]
+            home = near.argmax(1)
+            asks = []
+            for row in lists:
+                of = ix.cell[row]
+                asks.append([{"cell": int(c), "lists": row[of == c].astype(np.int32)} for c in np.unique(of)])
+            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), "asks": asks})
+
+    vectors = distinct.select("rid", "title", "code", "size", "watt", "colour", "series", "spare").mapInPandas(run, "rid bigint, vec binary, list int, cell int, asks array<struct<cell:int,lists:array<int>>>")
     keys = distinct.select("rid", F.when(F.col("code").isNotNull(), F.xxhash64("code")).alias("code_h"), "spare", "size", "height", "watt", "colour", F.transform("series", lambda s: F.xxhash64(s)).alias("series"))
     return vectors.join(keys, "rid")
 
@@ -371,33 +413,53 @@ def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
 
 def links(encoded: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(a, b, sim) in both directions for every listing and those of its nearest neighbours that
-    nothing speaks against. Every listing asks the lists it is nearest to."""
-    members = encoded.select("*", F.element_at("lists", 1).alias("list")).drop("lists")
-    parts = members.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts"))
-    members = members.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).drop("parts")
-    asking = encoded.select("*", F.explode("lists").alias("list")).drop("lists").join(parts, "list")
+    nothing speaks against. A listing is sent once to every cell that holds lists it asks."""
+    members = encoded.drop("asks")
+    parts = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
+    members = members.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).drop("parts")
+    asking = encoded.drop("list", "cell").select("*", F.explode("asks").alias("ask")).select("*", "ask.cell", "ask.lists").drop("asks", "ask").join(parts, "cell")
     asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
     asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own
 
-    def search(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})
+    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})]
         if mine.empty or theirs.empty:
-            return empty
-        m, mk, mid = np.stack(mine["vec"].to_numpy()), _columns(mine), mine["rid"].to_numpy()
-        q, qk, qid = np.stack(theirs["vec"].to_numpy()), _columns(theirs), theirs["rid"].to_numpy()
-        out = []
-        for lo in range(0, len(q), 512):
-            sims = q[lo : lo + 512] @ m.T
-            sims[qid[lo : lo + 512, None] == mid[None, :]] = -2
-            top = min(k, len(m))
-            best = np.argpartition(-sims, top - 1, axis=1)[:, :top] if top < len(m) else np.tile(np.arange(len(m)), (len(sims), 1))
-            i, j = np.repeat(np.arange(len(sims)), best.shape[1]), best.ravel()
-            ok = (sims[i, j] > -2) & _agree(qk, i + lo, mk, j)
-            out.append(pd.DataFrame({"a": qid[i[ok] + lo], "b": mid[j[ok]], "sim": sims[i[ok], j[ok]]}))
-        return pd.concat(out, ignore_index=True) if out else empty
-
-    found = members.groupBy("list", "part").cogroup(asking.groupBy("list", "part")).applyInPandas(search, "a bigint, b bigint, sim float")
-    return found
+            return out[0]
+        read = lambda pdf: np.frombuffer(b"".join(pdf["vec"]), np.float16).reshape(len(pdf), -1).astype(np.float32)
+        m, mk, mid = read(mine), _columns(mine), mine["rid"].to_numpy()
+        q, qk, qid = read(theirs), _columns(theirs), theirs["rid"].to_numpy()
+        kept_in = mine["list"].to_numpy()
+        sizes = theirs["lists"].map(len).to_numpy()
+        asker, asked = np.repeat(np.arange(len(q)), sizes), np.concatenate(theirs["lists"].to_list())
+        for one in np.unique(kept_in):
+            there, who = np.flatnonzero(kept_in == one), asker[asked == one]
+            for lo in range(0, len(who), 512):
+                w = who[lo : lo + 512]
+                sims = q[w] @ m[there].T
+                sims[qid[w, None] == mid[None, there]] = -2
+                top = min(k, len(there))
+                best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
+                i, j = np.repeat(np.arange(len(w)), top), best.ravel()
+                ok = (sims[i, j] > -2) & _agree(qk, w[i], mk, there[j])
+                out.append(pd.DataFrame({"a": qid[w[i[ok]]], "b": mid[there[j[ok]]], "sim": sims[i[ok], j[ok]]}))
+        return pd.concat(out, ignore_index=True)
+
+    return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint, sim float")
+
+
+def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
+    """(queries, neighbours, found, recall): of the exact k nearest of every listing whose id is
+    divisible by 100, by brute force over all listings, those in the lists it asks."""
+    flat = encoded.select("rid", "list", F.flatten(F.transform("asks", lambda a: a["lists"])).alias("asked"), "vec")
+
+    def floats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"rid": pdf["rid"], "v": [np.frombuffer(x, np.float16).astype(np.float32) for x in pdf["vec"]]})
+
+    vectors = flat.select("rid", "vec").mapInPandas(floats, "rid bigint, v array<float>")
+    near = search(vectors, vectors.filter("rid % 100 = 0"), "rid", "v", k + 1).filter("query_id <> rid and rank_no <= " + str(k + 1))
+    at = near.join(flat.select("rid", "list"), "rid").join(flat.select(F.col("rid").alias("query_id"), "asked"), "query_id")
+    return at.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count_if(F.array_contains("asked", F.col("list"))).alias("found")).withColumn("recall", F.round(F.try_divide("found", "neighbours"), 4))
 
 
 def mutual(found: DataFrame) -> DataFrame:
@@ -433,7 +495,7 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     Null or empty names are matched by their other fields' values where these suffice; repeated
     rows are copies and share a group; an empty table gives none; other columns are ignored.
     """
-    listings = cut_lineage(complete(listing_features(products, suppliers)))
+    listings = cut_lineage(complete(cut_lineage(listing_features(products, suppliers))))  # read twice each
     encoded = cut_lineage(encode(listings, fit(listings, listings.count())))
     roots = components(mutual(links(encoded)))
     same = ["title", "code", "spare", "size", "height", "watt", "colour", "series"]
