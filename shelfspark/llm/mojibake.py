@@ -186,9 +186,11 @@ class Restorer:
                 if raw is not None and any(b > 127 for b in raw):
                     try:
                         new = raw.decode("utf-8")
-                        break
                     except UnicodeDecodeError:
-                        pass
+                        continue
+                    if self.score(new) >= self.score(now) - 2 or any(ord(c) >= 0x1F000 for c in new):  # else the bytes only happen to fit
+                        break
+                    new = None
             if new is None:
                 new = self.runs.sub(lambda m: self._run(m[0]), now)
             if new == now:
@@ -224,17 +226,18 @@ class Restorer:
         garbled = "\ufffd" in word
         if word.isascii():
             return word, False, None
+        best: tuple[float, str, tuple | None] | None = None
         m = self.runs.search(word)
         if m or self.leads.search(word):
             fixed = self._utf8(word)
             if fixed is not None and "\ufffd" not in fixed and not any(0x80 <= ord(c) < 0xA0 for c in fixed):
                 sure = m is None or len(m[0]) > 2 or any(c not in CLASS and c.lower() not in CLASS and c not in "«»ё\xa0\xad" for c in m[0])
-                if (sure and self.score(fixed) >= self.score(word)) or self._gain(word, fixed) > MARGIN:
-                    return fixed, True, None
-        if sum(ord(c) > 127 for c in word) < 3:
-            return word, garbled, None
-        best = None
-        for pair in BYTE_PAIRS:
+                gain = self._gain(word, fixed)
+                emoji = any(ord(c) >= 0x1F000 for c in fixed)
+                if (sure and self.score(fixed) >= self.score(word)) or gain > MARGIN or emoji:
+                    best = (max(gain, MARGIN), fixed, None)
+        pairs = BYTE_PAIRS if sum(ord(c) > 127 for c in word) >= 3 else ()
+        for pair in pairs:
             fixed = self._by_pair(word, pair)
             if fixed is None:
                 continue

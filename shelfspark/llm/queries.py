@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import boilerplate, bpe, listings, mojibake, packing, topn, unify, vocabulary
-from shelfspark.session import table
+from shelfspark.session import cut_lineage, table
 
 
 #: Field to (list of the reference table, is the value a path).
@@ -31,6 +31,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.pairs_of(p4_groups(spark, sf_dir))
 
 
+def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index held against brute force."""
+    read = cut_lineage(listings.listing_features(table(spark, sf_dir, "catalog_products"), table(spark, sf_dir, "supplier_capability")))
+    found = cut_lineage(listings.complete(read))
+    index = listings.fit(found, found.count())
+    return listings.recall(cut_lineage(listings.encode(found, index)), index)
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unify.unify_fields(table(spark, sf_dir, "catalog_products"), "product_id", UNIFIED_FIELDS).filter("changed").select("product_id", "field_name")
 
@@ -70,7 +78,7 @@ def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found,
+    "p3_found": p3_found, "p4_found": p4_found, "p4_groups": p4_groups, "p4_recall": p4_recall, "p5_found": p5_found, "p5_unified": p5_unified, "p6_found": p6_found,
     "p7_found": p7_found, "p8_ids": p8_ids, "p9_containers": p9_containers, "p10_found": p10_found, "p10_restored": p10_restored,
 }
 
