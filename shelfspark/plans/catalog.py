@@ -27,9 +27,12 @@ def _inventory_log(spark, d):
 _TIE = "concat_ws('|', " + ", ".join(f"coalesce({c}, '')" for c in ["product_url", *_INV_KEEP]) + ")"
 
 
-@query("k2_inventory_upsert", f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY supplier, canonical_url ORDER BY discovered_at, {_TIE}) AS n FROM inventory_records)
+_UPSERT = f"""WITH o AS (SELECT *, row_number() OVER (PARTITION BY supplier, canonical_url ORDER BY discovered_at, {_TIE}) AS n FROM inventory_records)
 SELECT supplier, canonical_url, arg_max(product_url, n) AS product_url, arg_max(discovery_source, n) AS discovery_source, max(discovered_at) AS discovered_at,
- {', '.join(f'arg_max({c}, n) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in _INV_KEEP)} FROM o GROUP BY supplier, canonical_url""")
+ {', '.join(f'arg_max({c}, n) FILTER (WHERE {c} IS NOT NULL) AS {c}' for c in _INV_KEEP)} FROM o GROUP BY supplier, canonical_url"""
+
+
+@query("k2_inventory_upsert", _UPSERT)
 def inventory_upsert(spark, d):
     return upsert.upsert(_inventory_log(spark, d), ["supplier", "canonical_url"], ["discovered_at", "_tie"], ["product_url", "discovery_source", "discovered_at"], _INV_KEEP)
 
@@ -225,8 +228,8 @@ _KW = " ".join("WHEN '{}' THEN [{}]".format(k, ", ".join(f"'{w}'" for w in v)) f
 _LONG = "list_filter(regexp_extract_all(lower(coalesce({0}, '')), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= 4)"
 _PLAN = f"""WITH q AS (SELECT id AS requirement_id, coalesce(CASE taxonomy_family {_KW} END, CAST([] AS VARCHAR[])) AS keywords, {_LONG.format("concat_ws(' ', fixture_type, visual_description, shape, mounting, color, array_to_string(technical_constraints, ' '))")} AS words,
  {_LONG.format('mounting')} AS mounts, {_LONG.format('color')} AS colours FROM requirements WHERE {_REQ}),
-i AS (SELECT supplier, canonical_url, lower(concat_ws(' ', {', '.join(f"coalesce({c}, '')" for c in relevance.RECORD_FIELDS)})) AS txt FROM inventory_records),
-s AS (SELECT requirement_id, supplier, canonical_url, max(greatest(10 * len(list_filter(keywords, lambda t: contains(txt, t))) + 2 * len(list_filter(words, lambda t: contains(txt, t))) + CASE WHEN len(list_filter(mounts, lambda t: contains(txt, t))) > 0 THEN 3 ELSE 0 END + CASE WHEN len(list_filter(colours, lambda t: contains(txt, t))) > 0 THEN 2 ELSE 0 END, 1)) AS score FROM q, i GROUP BY 1, 2, 3),
+i AS (SELECT supplier, canonical_url, lower(concat_ws(' ', {', '.join(f"coalesce({c}, '')" for c in relevance.RECORD_FIELDS)})) AS txt FROM ({_UPSERT})),
+s AS (SELECT requirement_id, supplier, canonical_url, greatest(10 * len(list_filter(keywords, lambda t: contains(txt, t))) + 2 * len(list_filter(words, lambda t: contains(txt, t))) + CASE WHEN len(list_filter(mounts, lambda t: contains(txt, t))) > 0 THEN 3 ELSE 0 END + CASE WHEN len(list_filter(colours, lambda t: contains(txt, t))) > 0 THEN 2 ELSE 0 END, 1) AS score FROM q, i),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY requirement_id, supplier ORDER BY score DESC, canonical_url) <= 30),
 p AS (SELECT *, row_number() OVER (PARTITION BY requirement_id ORDER BY score DESC, supplier, canonical_url) AS rank_no FROM k)
 SELECT requirement_id, rank_no, supplier, canonical_url, CAST(score AS BIGINT) AS score FROM p WHERE rank_no <= 180"""
@@ -236,7 +239,7 @@ SELECT requirement_id, rank_no, supplier, canonical_url, CAST(score AS BIGINT) A
 def hydration_plan(spark, d):
     """Every requirement whose number is divisible by 100 against all inventory records."""
     asked = table(spark, d, "requirements").filter(F.regexp_extract("id", "[0-9]+", 0).try_cast("bigint") % 100 == 0)
-    return relevance.hydration_plan(asked, table(spark, d, "inventory_records"))
+    return relevance.hydration_plan(asked, inventory_upsert(spark, d))
 
 
 @query("w2_plan_unique", f"SELECT canonical_url, max(requirement_id) AS requirement_id FROM ({_PLAN}) GROUP BY canonical_url")
