@@ -43,6 +43,8 @@ MARGIN, LIKELY = 8.0, -12.0
 #: Most that a trigram with a character outside the repertoire is worth (such trigrams come from
 #: the garbled texts themselves).
 ODD = -16.0
+#: Places within which a short word goes with a garbled one.
+NEAR = 3
 _SPLIT = regex.compile(r"[^ \t\n\r]+")
 
 
@@ -177,26 +179,30 @@ class Restorer:
         return float(p.mean())
 
     def _utf8(self, word: str) -> str | None:
-        """The word with its misread UTF-8 sequences restored, up to three layers deep."""
-        now = word
-        for _ in range(3):
-            new = None
+        """The word with its misread UTF-8 sequences restored; None if there is nothing to restore.
+
+        Up to three layers are taken off, each in the likeliest way; of all layers the likeliest
+        counts, an inner one with an allowance, as what is garbled twice is unlikely throughout.
+        """
+        best, now = (self.score(word), word), word
+        for layer in range(1, 4):
+            ways = set()
             for enc in UTF8_AS:
                 raw = _bytes(now, enc)
                 if raw is not None and any(b > 127 for b in raw):
                     try:
-                        new = raw.decode("utf-8")
+                        ways.add(raw.decode("utf-8"))
                     except UnicodeDecodeError:
                         continue
-                    if self.score(new) >= self.score(now) - 2 or any(ord(c) >= 0x1F000 for c in new):  # else the bytes only happen to fit
-                        break
-                    new = None
-            if new is None:
-                new = self.runs.sub(lambda m: self._run(m[0]), now)
-            if new == now:
+            if not ways:
+                ways.add(self.runs.sub(lambda m: self._run(m[0]), now))
+            ways.discard(now)
+            if not ways:
                 break
-            now = new
-        return now if now != word else None
+            now = max(sorted(ways), key=self.score)
+            emoji = any(ord(c) >= 0x1F000 for c in now)
+            best = max(best, (self.score(now) + 2.5 * layer + 100 * emoji, now))
+        return best[1] if best[1] != word else None
 
     def _run(self, run: str) -> str:
         for enc in UTF8_AS:
@@ -280,14 +286,20 @@ class Restorer:
             if h < len(hits) and hits[h] < m.end():
                 got = self.word(m[0])
                 done[i] = got if got[1] else None
-        # words too short to tell by themselves go with a garbled neighbour
+        # words too short to tell by themselves go with a garbled word a few places off
         for step in (1, -1):
+            pair, far = None, 0
             for i in range(len(words))[::step]:
-                j = i - step
-                if done[i] is None and 0 <= j < len(words) and done[j] and done[j][2] and not words[i][0].isascii() and len(words[i][0]) <= 5:
-                    fixed = self._by_pair(words[i][0], done[j][2])
-                    if fixed and self.score(fixed) > self.score(words[i][0]):
-                        done[i] = (fixed, True, done[j][2])
+                if done[i]:
+                    pair, far = done[i][2] or pair, 0
+                    continue
+                far += 1
+                if pair is None or far > NEAR or len(words[i][0]) > 5 or words[i][0].isascii():
+                    continue
+                fixed = self._by_pair(words[i][0], pair)
+                if fixed and self.score(fixed) > self.score(words[i][0]) + 1:
+                    done[i] = (fixed, True, pair)
+                    far = 0
         out, last, found = [], 0, 0
         for m, got in zip(words, done):
             if got:
