@@ -140,7 +140,7 @@ def rollup(spark, d):
     return table(spark, d, "scored_candidates").rollup("requirement_id", "supplier").agg(F.count("*").alias("n"))
 
 
-@query("a10_by_requirement", """SELECT r.id AS requirement_id, count(s.candidate_id) AS candidates, count(DISTINCT s.product_id) AS products, count_if(s.visual_review_status = 'accepted') AS accepted, round(sum(CASE WHEN NOT isnan(s.overall_score) THEN s.overall_score END), 6) AS total_score,
+@query("a10_by_requirement", """SELECT r.id AS requirement_id, count(s.candidate_id) AS candidates, count(DISTINCT s.product_id) AS products, count(*) FILTER (WHERE s.visual_review_status = 'accepted') AS accepted, round(sum(CASE WHEN NOT isnan(s.overall_score) THEN s.overall_score END), 6) AS total_score,
  max(CASE WHEN NOT isnan(s.overall_score) THEN s.overall_score END) AS best_score FROM requirements r LEFT JOIN scored_candidates s ON r.id = s.requirement_id GROUP BY r.id""")
 def by_requirement(spark, d):
     r = table(spark, d, "requirements").select(F.col("id").alias("requirement_id"))

@@ -46,7 +46,7 @@ def keys(spark, d):
     return table(spark, d, "catalog_products").select("product_id", text.sku_key(s).alias("sku_key"), text.alnum_key(s).alias("alnum_key"), text.word_key(s).alias("word_key"), text.spaced_key(s).alias("spaced_key"))
 
 
-@query("fn5_strip_tags", """SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS cleaned FROM documents""")
+@query("fn5_strip_tags", """SELECT doc_id, nullif(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), '') AS cleaned FROM documents""")
 def strip_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", text.strip_tags(F.col("text")).alias("cleaned"))
 
@@ -208,7 +208,7 @@ def records_from_urls(spark, d):
     return table(spark, d, "inventory_records").select(urls.host(u).alias("supplier"), "product_url", urls.category(u).alias("category"), F.when(F.size(parts) >= 2, base).alias("category_url")).distinct()
 
 
-@query("fn40_clean_blank", """SELECT product_id, nullif(trim(regexp_replace(replace(name, chr(160), ' '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '') AS cleaned FROM catalog_products""")
+@query("fn40_clean_blank", """SELECT product_id, nullif(trim(regexp_replace(replace(name, chr(160), ' '), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' '), '') AS cleaned FROM catalog_products""")
 def clean_blank(spark, d):
     return table(spark, d, "catalog_products").select("product_id", text.clean_blank(F.col("name")).alias("cleaned"))
 

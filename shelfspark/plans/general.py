@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shelfspark.functions.times import instant_micros
 from shelfspark.operators.history import ledger, versions
 from shelfspark.operators.units import product_sizes
-from shelfspark.session import table
+from shelfspark.session import spread, table
 
 
 def product_ledger(updates: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def p1_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return product_sizes(table(spark, sf_dir, "catalog_products"), table(spark, sf_dir, "supplier_capability"))
+    return product_sizes(spread(table(spark, sf_dir, "catalog_products")), table(spark, sf_dir, "supplier_capability"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_ledger": p1_ledger, "p2_found": p2_found}

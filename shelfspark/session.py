@@ -76,3 +76,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table as a DataFrame."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as the session has cores: a table of one small file
+    would else be read and worked on by one task. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
