@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.llm import boilerplate, bpe, listings, mojibake, packing, topn, unify, vocabulary
-from shelfspark.session import cut_lineage, table
+from shelfspark.session import cut_lineage, spread, table
 
 
 #: Field to (list of the reference table, is the value a path).
@@ -16,7 +16,7 @@ UNIFIED_FIELDS = {"sku": True, "name": False}
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    products = table(spark, sf_dir, "catalog_products")
+    products = spread(table(spark, sf_dir, "catalog_products"))
     described = boilerplate.boilerplate_lines(products, "product_id", "supplier", "description").withColumn("field_name", F.lit("description"))
     stated = vocabulary.other_lines(products, "product_id", "availability_source_text", "availability", table(spark, sf_dir, "reference_values")).withColumn("field_name", F.lit("availability_source_text"))
     return described.unionByName(stated).select("product_id", "field_name", "line_no")
@@ -24,7 +24,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listing with its group."""
-    return listings.groups(table(spark, sf_dir, "catalog_products"), table(spark, sf_dir, "supplier_capability"))
+    return listings.groups(spread(table(spark, sf_dir, "catalog_products")), table(spark, sf_dir, "supplier_capability"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,48 +33,48 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index held against brute force."""
-    read = cut_lineage(listings.listing_features(table(spark, sf_dir, "catalog_products"), table(spark, sf_dir, "supplier_capability")))
+    read = cut_lineage(listings.listing_features(spread(table(spark, sf_dir, "catalog_products")), table(spark, sf_dir, "supplier_capability")))
     found = cut_lineage(listings.complete(read))
     index = listings.fit(found, found.count())
     return listings.recall(cut_lineage(listings.encode(found, index)), index)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unify.unify_fields(table(spark, sf_dir, "catalog_products"), "product_id", UNIFIED_FIELDS).filter("changed").select("product_id", "field_name")
+    return unify.unify_fields(spread(table(spark, sf_dir, "catalog_products")), "product_id", UNIFIED_FIELDS).filter("changed").select("product_id", "field_name")
 
 
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both fields in their consistent form, and the form to compare by."""
-    return unify.unify_fields(table(spark, sf_dir, "catalog_products"), "product_id", UNIFIED_FIELDS).select("product_id", "field_name", "unified", "compared", "changed")
+    return unify.unify_fields(spread(table(spark, sf_dir, "catalog_products")), "product_id", UNIFIED_FIELDS).select("product_id", "field_name", "unified", "compared", "changed")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.map_values(table(spark, sf_dir, "catalog_products"), "product_id", FREE_FIELDS, table(spark, sf_dir, "reference_values"))
+    return vocabulary.map_values(spread(table(spark, sf_dir, "catalog_products")), "product_id", FREE_FIELDS, table(spark, sf_dir, "reference_values"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "scored_candidates")
+    rows = spread(table(spark, sf_dir, "scored_candidates"))
     return topn.top_n(rows, "requirement_id", "overall_score", "product_id", "candidate_id", 5).select(
         "requirement_id", F.col("rank_no").cast("long").alias("rank_no"), "candidate_id"
     )
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode_texts(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+    sizes = bpe.count_tokens(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mojibake.restore(table(spark, sf_dir, "documents"), "doc_id", "text").filter("n_garbled > 0").select("doc_id")
+    return mojibake.restore(spread(table(spark, sf_dir, "documents")), "doc_id", "text").filter("n_garbled > 0").select("doc_id")
 
 
 def p10_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The affected documents with what could be regained of their text."""
-    return mojibake.restore(table(spark, sf_dir, "documents"), "doc_id", "text").filter("n_garbled > 0")
+    return mojibake.restore(spread(table(spark, sf_dir, "documents")), "doc_id", "text").filter("n_garbled > 0")
 
 
 QUERIES = {
