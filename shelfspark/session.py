@@ -83,3 +83,9 @@ def spread(df: DataFrame) -> DataFrame:
     would else be read and worked on by one task. Larger tables stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def blocks(spark: SparkSession) -> int:
+    """Partitions for work that is dear for its bytes, which AQE would put into one task: the
+    session's shuffle partitions, at least its cores."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
