@@ -31,7 +31,7 @@ from shelfspark.llm.unify import unify
 from shelfspark.llm.vocabulary import ALIASES, _plain, edits, transliterate
 from shelfspark.operators.units import AXES, _name_sizes, _UNIT_KEY, resolve_sizes, stated_unit, to_mm
 from shelfspark.operators.vectors import search
-from shelfspark.session import cut_lineage
+from shelfspark.session import blocks, cut_lineage
 
 #: Rows of the bounded sample the encoder and the lists' centres are fitted on.
 SAMPLE_ROWS = 16_000
@@ -444,6 +444,8 @@ def links(encoded: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
                 out.append(pd.DataFrame({"a": qid[w[i[ok]]], "b": mid[there[j[ok]]], "sim": sims[i[ok], j[ok]]}))
         return pd.concat(out, ignore_index=True)
 
+    n = blocks(encoded.sparkSession)
+    members, asking = members.repartition(n, "cell", "part"), asking.repartition(n, "cell", "part")
     return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint, sim float")
 
 
