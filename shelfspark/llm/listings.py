@@ -5,13 +5,15 @@
    from the others of that code.
 2. A subword encoder, trained contrastively on listings that share a maker's code, turns titles
    into unit vectors.
-3. An inverted-file index over all vectors gives each listing its nearest neighbours; how many
-   lists are probed is tuned against exact neighbours on a sample.
-4. A neighbour is vetoed where codes, sizes, wattages, colours or series contradict each other.
-5. What is left in both directions links listings; connected listings are one product.
-
-Exact copies of a title are looked up once. Lists are cut to a bounded length, links stay
-distributed, and components are found by rounds of label passing over written tables.
+3. Listings of one code, and listings with all the same values, are joined exactly.
+4. For the other pairs an inverted-file index over all vectors gives each listing the lists near
+   it; how many are probed is tuned against exact neighbours on a sample.
+5. A pair is vetoed where codes, sizes, wattages, colours or series contradict each other; all
+   others of the probed lists link listings, however many. Connected listings are one product.
+
+Exact copies of a title are looked up once, the same values compared once a list. Lists are cut to
+parts of a bounded length, of the links of a part a spanning forest is kept, and components are
+found by rounds of label passing over written tables.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ from shelfspark.session import blocks, cut_lineage
 #: Rows of the bounded sample the encoder and the lists' centres are fitted on.
 SAMPLE_ROWS = 16_000
 DIM, BUCKETS = 48, 1 << 15
-NEIGHBOURS = 32
 #: Lists that lie near each other and are searched in one task; rows of them that one task holds.
 LISTS_A_CELL, CELL_ROWS = 16, 20_000
-#: Shares of the exact neighbours the probed lists must hold: of those that would be linked, and
-#: of the ten nearest whatever they are.
+#: Pairs that are compared at once.
+PAIRS = 2_000_000
+#: Shares of what the probed lists must hold: of all pairs that only the index can link, and of the
+#: ten nearest whatever they are.
 LINKED, NEAREST = 0.999, 0.92
 SIZE_TOLERANCE_MM = 4
 
@@ -298,10 +301,10 @@ def kmeans(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return centres
 
 
-def tune_probes(vectors: np.ndarray, centres: np.ndarray, agree, queries: int = 1000, k: int = NEIGHBOURS) -> tuple[int, float, float]:
-    """The fewest lists to probe that hold ``LINKED`` of the exact neighbours ``agree`` (row
-    numbers of queries, of neighbours) doesn't veto, and ``NEAREST`` of the ten nearest; both
-    shares as measured."""
+def tune_probes(vectors: np.ndarray, centres: np.ndarray, agreeing, queries: int = 1000, k: int = 10) -> tuple[int, float, float]:
+    """The fewest lists to probe that hold ``LINKED`` of all rows ``agreeing`` (of row numbers of
+    queries: pairs of query and row) gives, however far they are, and ``NEAREST`` of the k
+    nearest; both shares as measured."""
     n = len(vectors)
     of = (vectors @ centres.T).argmax(1)
     linked, nearest = [np.zeros(0, int)], [np.zeros(0, int)]
@@ -311,12 +314,11 @@ def tune_probes(vectors: np.ndarray, centres: np.ndarray, agree, queries: int =
         sims[np.arange(len(q)), np.arange(lo, lo + len(q))] = -2
         top = min(k, n)
         best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
-        best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sims, best, 1), axis=1, kind="stable"), 1)
-        i, j = np.repeat(np.arange(lo, lo + len(q)), top), best.ravel()
-        good = (i != j) & agree(i, j)
+        i, j = agreeing(np.arange(lo, lo + len(q)))
+        i, j = i[i != j], j[i != j]
         near = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
-        linked.append(near[i[good] - lo, of[j[good]]])
-        nearest.append(np.take_along_axis(near, of[best[:, :10]], 1).ravel())
+        linked.append(near[i - lo, of[j]])
+        nearest.append(np.take_along_axis(near, of[best], 1).ravel())
     a, b = np.concatenate(linked), np.concatenate(nearest)
     share = lambda r, p: float((r < p).mean()) if len(r) else 1.0
     probes = 1
@@ -355,7 +357,7 @@ def fit(listings: DataFrame, rows: int, sample: int = SAMPLE_ROWS) -> Index:
     keys = _columns(got)
     mixed = np.random.default_rng(7).permutation(len(vectors))
     keys = {c: v[mixed] for c, v in keys.items()}
-    tuned = tune_probes(vectors[mixed], centres, lambda i, j: _agree(keys, i, keys, j))
+    tuned = tune_probes(vectors[mixed], centres, lambda i: _agreeing(keys, i, keys, np.arange(len(mixed))))
     cells = kmeans(centres, max(1, round(len(centres) / LISTS_A_CELL)))
     return Index(weights, centres, (centres @ cells.T).argmax(1), *tuned)
 
@@ -393,12 +395,17 @@ def _agree(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j:
     for x in range(sa.shape[1]):
         for y in range(sb.shape[1]):
             shared |= (sa[:, x] == sb[:, y]) & (sa[:, x] != 0)
+    return np.where(coded, (ca == cb) & (a["spare"][i] == b["spare"][j]), shared & _close(a, i, b, j))
+
+
+def _close(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
+    """Which pairs agree in the values that are quickly compared."""
     with np.errstate(invalid="ignore"):
         size = np.abs(a["size"][i] - b["size"][j]) <= SIZE_TOLERANCE_MM
         watt = np.abs(a["watt"][i] - b["watt"][j]) < 0.05
         height = ~(np.abs(a["height"][i] - b["height"][j]) > 12)
     colour = (a["colour"][i] == b["colour"][j]) & (a["colour"][i] != 0)
-    return (a["spare"][i] == b["spare"][j]) & np.where(coded, ca == cb, shared & size & watt & colour & height)
+    return (a["spare"][i] == b["spare"][j]) & size & watt & colour & height
 
 
 def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
@@ -411,9 +418,65 @@ def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     return {"code_h": code, "spare": pdf["spare"].to_numpy(bool), "size": pdf["size"].to_numpy(float), "height": pdf["height"].to_numpy(float), "watt": pdf["watt"].to_numpy(float), "colour": colour, "series": series}
 
 
-def links(encoded: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """(a, b, sim) in both directions for every listing and those of its nearest neighbours that
-    nothing speaks against. A listing is sent once to every cell that holds lists it asks."""
+def _agreeing(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarray], others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (of ``rows``, of ``others``) that agree, but for pairs of two codes, which are
+    joined exactly."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    coded, other_coded = a["code_h"][rows] != 0, b["code_h"][others] != 0
+    for mine, theirs in ((rows[coded], others[~other_coded]), (rows[~coded], others)):
+        step = max(1, PAIRS // max(1, len(theirs)))
+        for lo in range(0, len(mine), step):
+            m = mine[lo : lo + step]
+            ok = _close(a, m[:, None], b, theirs[None, :])
+            i, j = np.nonzero(ok)
+            i, j = m[i], theirs[j]
+            good = _agree(a, i, b, j)
+            out.append((i[good], j[good]))
+    return tuple(np.concatenate([x[n] for x in out]) if out else np.zeros(0, int) for n in (0, 1))
+
+
+def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the graph of the pairs (a, b) of places in ``ids``: each id but a component's smallest,
+    and that smallest id. It connects what the pairs connect, in at most one row for an id."""
+    order = np.argsort(ids, kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    a, b = place[a], place[b]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    at = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[order][root[at]], ids[order][at]
+
+
+def same_values(encoded: DataFrame) -> DataFrame:
+    """(a, b) from the smallest id of all listings of one code, and of all listings without a code
+    that have the same values and agree with themselves, to each other of them."""
+    coded = encoded.filter("code_h is not null").select(F.col("rid").alias("b"), F.struct("code_h", "spare").alias("g"))
+    full = "code_h is null and colour is not null and size(series) > 0 and not isnan(size) and size is not null and not isnan(watt) and watt is not null"
+    plain = encoded.filter(full).select(F.col("rid").alias("b"), F.struct("spare", "size", "height", "watt", "colour", F.array_sort("series").alias("series")).alias("g"))
+    pairs = []
+    for rows in (coded, plain):
+        least = rows.groupBy("g").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
+        pairs.append(rows.join(least, "g").filter("a < b").select("a", "b"))
+    return pairs[0].unionByName(pairs[1])
+
+
+def links(encoded: DataFrame) -> DataFrame:
+    """(a, b), a < b, that connect every listing with all those of the lists it asks that nothing
+    speaks against. A listing is sent once to every cell that holds lists it asks; a task gives a
+    spanning forest of the links it finds, so none is left out and no more rows come out than its
+    listings."""
+    node = F.when(F.col("code_h").isNull(), F.xxhash64("spare", "size", "height", "watt", "colour", F.array_sort("series"))).otherwise(F.xxhash64("code_h", "spare", "size", "height", "watt", "colour", F.array_sort("series")))
+    encoded = encoded.drop("vec").withColumn("node", node)
     members = encoded.drop("asks")
     parts = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
     members = members.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).drop("parts")
@@ -422,31 +485,38 @@ def links(encoded: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float32")})]
         if mine.empty or theirs.empty:
-            return out[0]
-        read = lambda pdf: np.frombuffer(b"".join(pdf["vec"]), np.float16).reshape(len(pdf), -1).astype(np.float32)
-        m, mk, mid = read(mine), _columns(mine), mine["rid"].to_numpy()
-        q, qk, qid = read(theirs), _columns(theirs), theirs["rid"].to_numpy()
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+        mk, mnode, qk, qnode = _columns(mine), mine["node"].to_numpy(), _columns(theirs), theirs["node"].to_numpy()
         kept_in = mine["list"].to_numpy()
         sizes = theirs["lists"].map(len).to_numpy()
-        asker, asked = np.repeat(np.arange(len(q)), sizes), np.concatenate(theirs["lists"].to_list())
+        asker, asked = np.repeat(np.arange(len(theirs)), sizes), np.concatenate(theirs["lists"].to_list())
+        # listings with the same values agree with the same others, so one of them is compared;
+        # each is linked with that one, unless it is of those that lack a value to agree with themselves
+        ids, place = np.unique(np.concatenate((mine["rid"].to_numpy(), theirs["rid"].to_numpy())), return_inverse=True)
+        mplace, qplace = place[: len(mine)], place[len(mine) :]
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for one in np.unique(kept_in):
             there, who = np.flatnonzero(kept_in == one), asker[asked == one]
-            for lo in range(0, len(who), 512):
-                w = who[lo : lo + 512]
-                sims = q[w] @ m[there].T
-                sims[qid[w, None] == mid[None, there]] = -2
-                top = min(k, len(there))
-                best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
-                i, j = np.repeat(np.arange(len(w)), top), best.ravel()
-                ok = (sims[i, j] > -2) & _agree(qk, w[i], mk, there[j])
-                out.append(pd.DataFrame({"a": qid[w[i[ok]]], "b": mid[there[j[ok]]], "sim": sims[i[ok], j[ok]]}))
-        return pd.concat(out, ignore_index=True)
+            if not len(who):
+                continue
+            _, m1, m_of = np.unique(mnode[there], return_index=True, return_inverse=True)
+            _, q1, q_of = np.unique(qnode[who], return_index=True, return_inverse=True)
+            i, j = _agreeing(qk, who[q1], mk, there[m1])
+            # the first of the same values stands for all that found or were found
+            first_m, first_q = np.full(len(mine), -1), np.full(len(theirs), -1)
+            first_m[there], first_q[who] = there[m1][m_of], who[q1][q_of]
+            hit_m, hit_q = there[np.isin(first_m[there], j)], who[np.isin(first_q[who], i)]
+            new = [(qplace[i], mplace[j]), (mplace[hit_m], mplace[first_m[hit_m]]), (qplace[hit_q], qplace[first_q[hit_q]])]
+            a, b = np.concatenate((a, *[x for x, _ in new])), np.concatenate((b, *[y for _, y in new]))
+            if len(a) > PAIRS:
+                a, b = (np.searchsorted(ids, x) for x in _forest(ids, a, b))
+        low, high = _forest(ids, a, b)
+        return pd.DataFrame({"a": low, "b": high})
 
     n = blocks(encoded.sparkSession)
     members, asking = members.repartition(n, "cell", "part"), asking.repartition(n, "cell", "part")
-    return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint, sim float")
+    return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint")
 
 
 def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
@@ -464,12 +534,6 @@ def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
     return at.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count_if(F.array_contains("asked", F.col("list"))).alias("found")).withColumn("recall", F.round(F.try_divide("found", "neighbours"), 4))
 
 
-def mutual(found: DataFrame) -> DataFrame:
-    """Pairs (a < b) that found each other."""
-    pair = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("a") < F.col("b")).alias("up"))
-    return pair.groupBy("a", "b").agg(F.max("up").alias("u"), F.min("up").alias("d")).filter("u and not d").select("a", "b")
-
-
 def components(pairs: DataFrame, most: int = 50) -> DataFrame:
     """(id, root) of every id in a pair; root is the smallest id of the component.
 
@@ -499,7 +563,7 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """
     listings = cut_lineage(complete(cut_lineage(listing_features(products, suppliers))))  # read twice each
     encoded = cut_lineage(encode(listings, fit(listings, listings.count())))
-    roots = components(mutual(links(encoded)))
+    roots = components(same_values(encoded).unionByName(links(encoded)).distinct())
     same = ["title", "code", "spare", "size", "height", "watt", "colour", "series"]
     first = listings.groupBy(*same).agg(F.min("product_id").alias("rid"))
     on = F.lit(True)

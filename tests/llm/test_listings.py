@@ -84,3 +84,23 @@ def test_recall_of_the_index(spark):
 
     r = p4_recall(spark, "/root/testdata/sf0.01").first()
     assert r.queries == 12 and r.recall >= 0.9
+
+
+ENCODED = "rid long, vec binary, list int, cell int, asks array<struct<cell:int,lists:array<int>>>, code_h long, spare boolean, size double, height double, watt double, colour string, series array<long>"
+
+
+def encoded(spark, items):
+    """All in one list; items: id, similarity to the first axis, code, watt."""
+    row = lambda rid, sim, code, watt: (rid, np.array([sim, (1 - sim**2) ** 0.5], np.float16).tobytes(), 0, 0, [(0, [0])], code, False, 100.0, None, watt, "white", [5])
+    return spark.createDataFrame([row(*x) for x in items], ENCODED)
+
+
+def test_partner_behind_many_vetoed_variants_is_linked(spark):
+    got = listings.links(encoded(spark, [(1, 1.0, None, 7.0), *[(i, 1.0, i, 9.0) for i in range(2, 80)], (90, 0.5, 90, 7.0)])).collect()
+    assert {(r.a, r.b) for r in got if 1 in (r.a, r.b)} in ({(1, 90)}, {(1, 90), (90, 1)})
+
+
+def test_no_link_is_left_out_however_many_agree(spark):
+    rows = encoded(spark, [(i, 1 - i / 1000, 7 if i % 2 else None, 7.0) for i in range(1, 301)])
+    roots = {r.root for r in listings.components(listings.same_values(rows).unionByName(listings.links(rows))).collect()}
+    assert roots == {1}
