@@ -1,29 +1,34 @@
 """Page boilerplate mixed with main content.
 
-Per host, the token streams of its pages are concatenated and a suffix array is built over them.
-Substrings that recur on distinct pages show in its runs of long common prefixes. A line of a page
-that recurs as a whole line, and hardly ever inside another line, is what a template repeats; a
-sentence about a product recurs inside longer lines too. An exact look at the line follows: prose
-and specifications are kept, lists of links and other remains of the page are not.
-
-Hosts are cut into shards of bounded text, so no task holds more than ``SHARD_CHARS``; what a
-template repeats recurs in every shard.
+Per host, it is counted on how many distinct pages each line, and each beginning of a line, stands.
+A line that is neither prose nor a specification is a remain of the page if the line or its
+beginning recurs on other pages or it looks like navigation; a unique one is kept. Prose is a
+template's if it recurs as a whole line on ``TEMPLATE_PAGES`` pages and neither it nor a half of it
+stands anywhere else on the host; a sentence about a product recurs inside other lines, too. These
+occurrences are counted with suffix arrays over the token streams of the host's pages.
+
+Hosts are cut into shards of bounded text, so no task holds more than ``SHARD_CHARS`` and the
+repeated lines that are looked for; all counts are summed over a host's shards before deciding.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.session import blocks
+from shelfspark.session import blocks, cut_lineage
 
 #: Text one task looks at together.
 SHARD_CHARS = 8_000_000
-#: Depth to which prefixes are compared, in tokens; lines longer than that are no template's.
+#: Depth to which prefixes are compared, in tokens; longer lines are not looked for.
 DEPTH = 64
+#: Pages of a host on which prose is a template's; tokens that make a beginning.
+TEMPLATE_PAGES, LEAD = 5, 3
 _TOKEN = regex.compile(r"\p{L}+|\p{N}+|\n|[^\s\p{L}\p{N}]")
 #: Names of product properties in specification lines, Russian, English, German.
 SPEC_KEYS = (
@@ -72,10 +77,10 @@ class Suffixes:
         return np.cumsum(self.common < length)
 
 
-def repeats(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def repeats(pages: list[str], since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For every line of every page, in order: page number, distinct pages on which it stands as a
     whole line, its occurrences as a whole line, and its occurrences inside other lines. Numbers
-    count as equal."""
+    count as equal. Lines of pages before number ``since`` are searched but not counted for."""
     ids: dict[str, int] = {"\n": 0, "#": 1}
     stream: list[int] = []
     page_of: list[int] = []
@@ -98,12 +103,13 @@ def repeats(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     if not len(starts):
         return owner, on_pages, whole, inside
     tokens, of = np.array(stream, np.int64), np.array(page_of, np.int64)
+    counted = owner >= since
     sa = Suffixes(tokens)
     page_at = of[sa.order]
-    for length in np.unique(lengths):
+    for length in np.unique(lengths[counted]):
         if length == 0 or length + 2 > DEPTH:
             continue
-        mine = np.flatnonzero(lengths == length)
+        mine = np.flatnonzero(counted & (lengths == length))
         bounded, free = sa.groups(length + 2), sa.groups(length)
         b, f = bounded[sa.at[starts[mine] - 1]], free[sa.at[starts[mine]]]
         wanted = np.zeros(bounded[-1] + 1, bool)
@@ -117,18 +123,21 @@ def repeats(pages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return owner, on_pages, whole, inside
 
 
-def is_boilerplate(line: str, pages: int, on_pages: int, whole: int, inside: int) -> bool:
-    """Weighs what the suffix array says of a line against what the line looks like."""
+def looks(line: str) -> str:
+    """What a line looks like: blank, spec, prose, navigation or other."""
     if not line.strip():
-        return True
-    spec = _SPEC.fullmatch(line) is not None
+        return "blank"
+    if _SPEC.fullmatch(line) is not None:
+        return "spec"
+    if _NAVIGATION.search(line) is not None:
+        return "navigation"
     words = len(regex.findall(r"\p{L}+", line))
-    navigation = _NAVIGATION.search(line) is not None
-    prose = words >= 3 and _PROSE.fullmatch(line) is not None and line.rstrip()[-1] in ".)…\"»”" and line.rstrip(")\"»” ")[-1:] in ".…" and not navigation
-    repeated = on_pages >= 2 and inside <= 0.25 * (whole + inside)
-    template = inside == 0 and on_pages >= max(5, 0.02 * pages)
-    evidence = 2 * repeated + 2 * navigation + 2 * template + 1 - 4 * prose - 6 * spec
-    return evidence > 0
+    prose = words >= 3 and _PROSE.fullmatch(line) is not None and line.rstrip()[-1] in ".)…\"»”" and line.rstrip(")\"»” ")[-1:] in ".…"
+    return "prose" if prose else "other"
+
+
+def _tokens(line: str) -> list[str]:
+    return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(line)]
 
 
 def boilerplate_lines(pages: DataFrame, key: str, host: str, text: str) -> DataFrame:
@@ -144,12 +153,52 @@ def boilerplate_lines(pages: DataFrame, key: str, host: str, text: str) -> DataF
     shard: Column = F.pmod(F.xxhash64("k", "t"), F.col("shards")).cast("int")
     rows = rows.join(chars, "h").select("k", "h", "t", shard.alias("s"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = pdf["t"].tolist()
-        owner, on_pages, whole, inside = repeats(texts)
-        lines = [line for t in texts for line in t.split("\n")]
-        numbers = np.concatenate([np.arange(1, n + 1) for n in np.bincount(owner, minlength=len(texts))]) if len(owner) else np.array([], int)
-        bad = np.array([is_boilerplate(x, len(texts), int(a), int(b), int(c)) for x, a, b, c in zip(lines, on_pages, whole, inside)], bool)
-        return pd.DataFrame({"k": pdf["k"].to_numpy()[owner[bad]], "line_no": numbers[bad]})
-
-    return rows.repartition(blocks(pages.sparkSession), "h", "s").groupBy("h", "s").applyInPandas(solve, f"k {kind}, line_no bigint").withColumnRenamed("k", key)
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for k, h, t in zip(pdf["k"], pdf["h"], pdf["t"]):
+                seen: set[str] = set()
+                for no, line in enumerate(t.split("\n"), 1):
+                    kind_ = looks(line)
+                    if kind_ == "spec":
+                        continue
+                    tokens = _tokens(line)
+                    key_, lead = " ".join(tokens), "\n" + " ".join(tokens[:LEAD])
+                    out.append((k, h, no, kind_, key_, lead, key_ not in seen, lead not in seen))
+                    seen |= {key_, lead}
+            yield pd.DataFrame(out, columns=["k", "h", "line_no", "kind", "key", "lead", "new", "new_lead"])
+
+    lines = cut_lineage(rows.mapInPandas(read, f"k {kind}, h string, line_no bigint, kind string, key string, lead string, new boolean, new_lead boolean"))
+    # prose that recurs as a whole line on enough pages, and where else on the host it or its halves stand
+    often = lines.filter("kind = 'prose'").groupBy("h", "key").agg(F.count_if("new").alias("pages"), F.count("*").alias("whole")).filter(F.col("pages") >= TEMPLATE_PAGES)
+    wanted = cut_lineage(often.join(chars, "h").select("h", "key", "whole", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s")))
+
+    def count(pages_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if pages_.empty or asked.empty:
+            return pd.DataFrame({"h": [], "key": [], "all": [], "first": [], "second": []}).astype({"all": "int64", "first": "int64", "second": "int64", "h": "object", "key": "object"})
+        parts = []
+        for x in asked["key"]:
+            t = x.split(" ")
+            parts += [x, " ".join(t[: len(t) // 2]), " ".join(t[len(t) // 2 :])]
+        parts = [x.replace("#", "0") for x in parts]
+        # the lines looked for stand behind the pages; what they hold of one another is taken off
+        _, _, whole, inside = repeats([*pages_["t"], *parts], len(pages_))
+        _, _, own, own_inside = repeats(parts)
+        n = ((whole + inside)[-len(parts) :] - own - own_inside).reshape(-1, 3)
+        return pd.DataFrame({"h": asked["h"].to_numpy(), "key": asked["key"].to_numpy(), "all": n[:, 0], "first": n[:, 1], "second": n[:, 2]})
+
+    n = blocks(pages.sparkSession)
+    searched = rows.repartition(n, "h", "s").groupBy("h", "s").cogroup(wanted.repartition(n, "h", "s").groupBy("h", "s"))
+    found = searched.applyInPandas(count, "h string, key string, all bigint, first bigint, second bigint").groupBy("h", "key").agg(*[F.sum(c).alias(c) for c in ("all", "first", "second")])
+    whole = wanted.groupBy("h", "key").agg(F.first("whole").alias("whole"))
+    templates = found.join(whole, ["h", "key"]).filter("all = whole and first = whole and second = whole").select("h", "key")
+    prose = lines.filter("kind = 'prose'").join(templates, ["h", "key"], "left_semi")
+    other = lines.filter("kind = 'other'")
+    same = other.groupBy("h", "key").agg(F.count_if("new").alias("n")).filter("n > 1").select("h", "key")
+    leads = lines.filter("kind in ('other', 'navigation')").groupBy("h", "lead").agg(F.count_if("new_lead").alias("n")).filter("n > 1").select("h", "lead")
+    alike = other.join(same, ["h", "key"], "left_semi").select("k", "h", "line_no", "key").unionByName(other.join(same, ["h", "key"], "left_anti").join(leads, ["h", "lead"], "left_semi").select("k", "h", "line_no", "key"))
+    parts = [lines.filter("kind in ('blank', 'navigation')"), prose, alike]
+    out = parts[0].select("k", "line_no")
+    for x in parts[1:]:
+        out = out.unionByName(x.select("k", "line_no"))
+    return out.withColumnRenamed("k", key)

@@ -126,3 +126,16 @@ def test_boilerplate_table(spark):
     got = boilerplate.boilerplate_lines(spark.createDataFrame(rows, "product_id long, supplier string, description string, line_no int"), "product_id", "supplier", "description")
     assert sorted(map(tuple, got.collect())) == [(i, n) for i in range(6) for n in (1, 4, 5)] + [(9, 1)]
     assert boilerplate.boilerplate_lines(spark.createDataFrame([], "product_id long, supplier string, description string"), "product_id", "supplier", "description").count() == 0
+
+
+def found_lines(spark, texts, host="h"):
+    df = spark.createDataFrame([(i, host, t) for i, t in enumerate(texts)], "product_id long, supplier string, description string")
+    return sorted(map(tuple, boilerplate.boilerplate_lines(df, "product_id", "supplier", "description").collect()))
+
+
+def test_repeats_decide_over_looks(spark):
+    # unique lines stay whatever they look like; a prose template on 5 of 300 pages goes
+    unique = [f"Яркость «{'абвгдежзик'[i % 10] * (i // 10 + 2)}» в {'клмнопрсту'[i % 10] * (i // 10 + 2)}!" for i in range(300)]
+    texts = [f"Лампа {'деж'[i % 3] * (i + 2)} светит ровно.\n{unique[i]}" + ("\nМы отвечаем на письма каждый будний день." if i < 5 else "") for i in range(300)]
+    texts[0] += "\nCRI: 90"
+    assert found_lines(spark, texts) == [(i, 3) for i in range(5)]
