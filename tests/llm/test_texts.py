@@ -139,3 +139,11 @@ def test_repeats_decide_over_looks(spark):
     texts = [f"Лампа {'деж'[i % 3] * (i + 2)} светит ровно.\n{unique[i]}" + ("\nМы отвечаем на письма каждый будний день." if i < 5 else "") for i in range(300)]
     texts[0] += "\nCRI: 90"
     assert found_lines(spark, texts) == [(i, 3) for i in range(5)]
+
+
+def test_counts_hold_for_the_whole_host(spark, monkeypatch):
+    # the sentence stands inside another line on one page only, in one of many shards
+    monkeypatch.setattr(boilerplate, "SHARD_CHARS", 300)
+    line, shop = "Провод убирается в чашу светильника.", "Мы отвечаем на письма каждый будний день."
+    texts = [f"{'абвгд'[i % 5] * (i + 3)} светит очень ровно.\n{line}\n{shop}" for i in range(40)] + ["Рама лёгкая.\nКорпус тёплый. " + line]
+    assert found_lines(spark, texts) == [(i, 3) for i in range(40)]
