@@ -25,7 +25,7 @@ from shelfspark.session import blocks, cut_lineage
 
 #: Text one task looks at together.
 SHARD_CHARS = 8_000_000
-#: Depth to which prefixes are compared, in tokens; longer lines are not looked for.
+#: Depth to which prefixes are compared, in tokens, unless a longer line is looked for.
 DEPTH = 64
 #: Pages of a host on which prose is a template's; tokens that make a beginning.
 TEMPLATE_PAGES, LEAD = 5, 3
@@ -56,6 +56,8 @@ class Suffixes:
             _, new = np.unique(rank * (n + 1) + nxt + 1, return_inverse=True)
             self.levels.append(new.astype(np.int64))
             k *= 2
+            if self.levels[-1].max() == n - 1:  # no two are equal any more
+                break
         self.order = np.argsort(self.levels[-1], kind="stable")
         i, j = self.order[:-1].copy(), self.order[1:].copy()
         common = np.zeros(max(0, n - 1), np.int64)
@@ -104,10 +106,11 @@ def repeats(pages: list[str], since: int = 0) -> tuple[np.ndarray, np.ndarray, n
         return owner, on_pages, whole, inside
     tokens, of = np.array(stream, np.int64), np.array(page_of, np.int64)
     counted = owner >= since
-    sa = Suffixes(tokens)
+    longest = int(lengths[counted].max(initial=0))
+    sa = Suffixes(tokens, max(DEPTH, longest + 2))
     page_at = of[sa.order]
     for length in np.unique(lengths[counted]):
-        if length == 0 or length + 2 > DEPTH:
+        if length == 0:
             continue
         mine = np.flatnonzero(counted & (lengths == length))
         bounded, free = sa.groups(length + 2), sa.groups(length)

@@ -147,3 +147,9 @@ def test_counts_hold_for_the_whole_host(spark, monkeypatch):
     line, shop = "Провод убирается в чашу светильника.", "Мы отвечаем на письма каждый будний день."
     texts = [f"{'абвгд'[i % 5] * (i + 3)} светит очень ровно.\n{line}\n{shop}" for i in range(40)] + ["Рама лёгкая.\nКорпус тёплый. " + line]
     assert found_lines(spark, texts) == [(i, 3) for i in range(40)]
+
+
+def test_long_template_lines_go(spark):
+    words = lambda n: " ".join("".join("абвгдежзик"[int(d)] for d in f"{i:03d}") for i in range(n))
+    texts = [f"Лампа {'деж'[i % 3] * (i + 2)} светит ровно.\nДоставка {words(200)} бесплатно." for i in range(6)]
+    assert found_lines(spark, texts) == [(i, 2) for i in range(6)]
