@@ -10,6 +10,8 @@
    it; how many are probed is tuned against exact neighbours on a sample.
 5. A pair is vetoed where codes, sizes, wattages, colours or series contradict each other; all
    others of the probed lists link listings, however many. Connected listings are one product.
+6. A listing that states neither code nor one of size, wattage and colour joins the product its
+   other values agree with, if that is one only.
 
 Exact copies of a title are looked up once, the same values compared once a list. Lists are cut to
 parts of a bounded length, of the links of a part a spanning forest is kept, and components are
@@ -124,7 +126,7 @@ class Reader:
                 s = _skeleton(w)
                 if s not in maker and self.distinctive(s):
                     out[s] = None
-        return list(out)[:4]
+        return list(out)
 
 
 def colour_of(*texts: str | None) -> str | None:
@@ -390,32 +392,47 @@ def _agree(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j:
     """Which pairs of listings nothing speaks against, by their numbers and variants."""
     ca, cb = a["code_h"][i], b["code_h"][j]
     coded = (ca != 0) & (cb != 0)
+    shared = _share(a, i, b, j)
+    return np.where(coded, (ca == cb) & (a["spare"][i] == b["spare"][j]), shared & _close(a, i, b, j))
+
+
+def _share(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
+    """Which pairs share a word of the series."""
     shared = np.zeros(len(i), bool)
     sa, sb = a["series"][i], b["series"][j]
     for x in range(sa.shape[1]):
         for y in range(sb.shape[1]):
             shared |= (sa[:, x] == sb[:, y]) & (sa[:, x] != 0)
-    return np.where(coded, (ca == cb) & (a["spare"][i] == b["spare"][j]), shared & _close(a, i, b, j))
+    for n in np.flatnonzero(~shared & (a["wide"][i] | b["wide"][j])):
+        shared[n] = not set(a["words"][i[n]]).isdisjoint(b["words"][j[n]])
+    return shared
 
 
-def _close(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
-    """Which pairs agree in the values that are quickly compared."""
+def _close(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray, missing: bool = False) -> np.ndarray:
+    """Which pairs agree in the values that are quickly compared; ``missing``: a value that one of
+    them lacks is no veto."""
     with np.errstate(invalid="ignore"):
-        size = np.abs(a["size"][i] - b["size"][j]) <= SIZE_TOLERANCE_MM
-        watt = np.abs(a["watt"][i] - b["watt"][j]) < 0.05
+        size = np.abs(a["size"][i] - b["size"][j])
+        watt = np.abs(a["watt"][i] - b["watt"][j])
         height = ~(np.abs(a["height"][i] - b["height"][j]) > 12)
-    colour = (a["colour"][i] == b["colour"][j]) & (a["colour"][i] != 0)
+    size, watt = (~(size > SIZE_TOLERANCE_MM), ~(watt >= 0.05)) if missing else (size <= SIZE_TOLERANCE_MM, watt < 0.05)
+    ka, kb = a["colour"][i], b["colour"][j]
+    colour = (ka == kb) | ((ka == 0) | (kb == 0)) if missing else (ka == kb) & (ka != 0)
     return (a["spare"][i] == b["spare"][j]) & size & watt & colour & height
 
 
 def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
     series = np.zeros((len(pdf), 6), np.int64)
+    words = np.empty(len(pdf), object)
     for r, s in enumerate(pdf["series"]):
-        if s is not None:
-            series[r, : min(6, len(s))] = list(s)[:6]
+        words[r] = () if s is None else tuple(s)
+        series[r, : min(6, len(words[r]))] = words[r][:6]
     colour = np.array([0 if c is None else zlib.crc32(c.encode()) + 1 for c in pdf["colour"]], np.int64)
     code = pdf["code_h"].fillna(0).astype("int64").to_numpy()
-    return {"code_h": code, "spare": pdf["spare"].to_numpy(bool), "size": pdf["size"].to_numpy(float), "height": pdf["height"].to_numpy(float), "watt": pdf["watt"].to_numpy(float), "colour": colour, "series": series}
+    size, watt = pdf["size"].to_numpy(float), pdf["watt"].to_numpy(float)
+    lacks = np.isnan(size).astype(int) + np.isnan(watt) + (colour == 0)
+    wide = np.array([len(w) > 6 for w in words], bool)
+    return {"code_h": code, "spare": pdf["spare"].to_numpy(bool), "size": size, "height": pdf["height"].to_numpy(float), "watt": watt, "colour": colour, "series": series, "words": words, "wide": wide, "lacks": lacks}
 
 
 def _agreeing(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarray], others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -435,6 +452,20 @@ def _agreeing(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarra
     return tuple(np.concatenate([x[n] for x in out]) if out else np.zeros(0, int) for n in (0, 1))
 
 
+def _may_agree(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarray], others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a listing without a code that lacks one of size, wattage and colour, and one
+    with a code or all of them, that nothing speaks against."""
+    mine, theirs = rows[(a["code_h"][rows] == 0) & (a["lacks"][rows] == 1)], others[(b["code_h"][others] != 0) | (b["lacks"][others] == 0)]
+    out = [(np.zeros(0, int), np.zeros(0, int))]
+    step = max(1, PAIRS // max(1, len(theirs)))
+    for lo in range(0, len(mine), step):
+        i, j = np.nonzero(_close(a, mine[lo : lo + step][:, None], b, theirs[None, :], True))
+        i, j = mine[lo : lo + step][i], theirs[j]
+        good = _share(a, i, b, j)
+        out.append((i[good], j[good]))
+    return tuple(np.concatenate([x[n] for x in out]) for n in (0, 1))
+
+
 def _forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the graph of the pairs (a, b) of places in ``ids``: each id but a component's smallest,
     and that smallest id. It connects what the pairs connect, in at most one row for an id."""
@@ -471,10 +502,15 @@ def same_values(encoded: DataFrame) -> DataFrame:
 
 
 def links(encoded: DataFrame) -> DataFrame:
-    """(a, b), a < b, that connect every listing with all those of the lists it asks that nothing
+    """(a, b), a < b, of ``all_links`` that are sure."""
+    return all_links(encoded).filter("sure").select("a", "b")
+
+
+def all_links(encoded: DataFrame) -> DataFrame:
+    """(a, b, sure). Sure ones, a < b, connect every listing with all those of the lists it asks that nothing
     speaks against. A listing is sent once to every cell that holds lists it asks; a task gives a
     spanning forest of the links it finds, so none is left out and no more rows come out than its
-    listings."""
+    listings. Others: a lacks a value, and may be the product of b."""
     node = F.when(F.col("code_h").isNull(), F.xxhash64("spare", "size", "height", "watt", "colour", F.array_sort("series"))).otherwise(F.xxhash64("code_h", "spare", "size", "height", "watt", "colour", F.array_sort("series")))
     encoded = encoded.drop("vec").withColumn("node", node)
     members = encoded.drop("asks")
@@ -486,7 +522,7 @@ def links(encoded: DataFrame) -> DataFrame:
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sure": pd.Series(dtype="bool")})
         mk, mnode, qk, qnode = _columns(mine), mine["node"].to_numpy(), _columns(theirs), theirs["node"].to_numpy()
         kept_in = mine["list"].to_numpy()
         sizes = theirs["lists"].map(len).to_numpy()
@@ -496,12 +532,16 @@ def links(encoded: DataFrame) -> DataFrame:
         ids, place = np.unique(np.concatenate((mine["rid"].to_numpy(), theirs["rid"].to_numpy())), return_inverse=True)
         mplace, qplace = place[: len(mine)], place[len(mine) :]
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        may = [np.zeros((0, 2), np.int64)]
         for one in np.unique(kept_in):
             there, who = np.flatnonzero(kept_in == one), asker[asked == one]
             if not len(who):
                 continue
             _, m1, m_of = np.unique(mnode[there], return_index=True, return_inverse=True)
             _, q1, q_of = np.unique(qnode[who], return_index=True, return_inverse=True)
+            i, j = _may_agree(qk, who, mk, there[m1])
+            if len(i):
+                may.append(np.unique(np.column_stack((qplace[i], mplace[j])), axis=0))
             i, j = _agreeing(qk, who[q1], mk, there[m1])
             # the first of the same values stands for all that found or were found
             first_m, first_q = np.full(len(mine), -1), np.full(len(theirs), -1)
@@ -512,11 +552,16 @@ def links(encoded: DataFrame) -> DataFrame:
             if len(a) > PAIRS:
                 a, b = (np.searchsorted(ids, x) for x in _forest(ids, a, b))
         low, high = _forest(ids, a, b)
-        return pd.DataFrame({"a": low, "b": high})
+        weak = np.concatenate(may)
+        if len(weak):  # one of the listings that this task connects will do
+            least = np.arange(len(ids))
+            least[np.searchsorted(ids, high)] = np.searchsorted(ids, low)
+            weak = np.unique(np.column_stack((weak[:, 0], least[weak[:, 1]])), axis=0)
+        return pd.DataFrame({"a": np.concatenate((low, ids[weak[:, 0]])), "b": np.concatenate((high, ids[weak[:, 1]])), "sure": np.arange(len(low) + len(weak)) < len(low)})
 
     n = blocks(encoded.sparkSession)
     members, asking = members.repartition(n, "cell", "part"), asking.repartition(n, "cell", "part")
-    return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint")
+    return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint, sure boolean")
 
 
 def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
@@ -554,6 +599,17 @@ def components(pairs: DataFrame, most: int = 50) -> DataFrame:
     raise RuntimeError("components didn't settle")
 
 
+def join_lacking(may: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, root) with the listings of ``may`` that can be of one component only added to it; root
+    stays the smallest id."""
+    of = may.join(roots, may["b"] == roots["id"], "left").select("a", F.coalesce("root", "b").alias("to"))
+    one = of.groupBy("a").agg(F.min("to").alias("to"), F.max("to").alias("most")).filter("to = most").select(F.col("a").alias("id"), "to")
+    one = cut_lineage(one)
+    roots = roots.unionByName(one.select("id", F.col("to").alias("root"))).unionByName(one.select(F.col("to").alias("id"), F.col("to").alias("root"))).distinct()
+    least = one.groupBy("to").agg(F.min("id").alias("low"))
+    return roots.join(least, roots["root"] == least["to"], "left").select("id", F.least("root", "low").alias("root"))
+
+
 def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """(product_id, group_id) of every row: rows of one group show the same product; group_id is
     the group's smallest product_id. A row that matches no other is a group of its own.
@@ -563,7 +619,9 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """
     listings = cut_lineage(complete(cut_lineage(listing_features(products, suppliers))))  # read twice each
     encoded = cut_lineage(encode(listings, fit(listings, listings.count())))
-    roots = components(same_values(encoded).unionByName(links(encoded)).distinct())
+    found = cut_lineage(all_links(encoded))
+    roots = components(same_values(encoded).unionByName(found.filter("sure").select("a", "b")).distinct())
+    roots = join_lacking(found.filter("not sure").select("a", "b").distinct(), roots)
     same = ["title", "code", "spare", "size", "height", "watt", "colour", "series"]
     first = listings.groupBy(*same).agg(F.min("product_id").alias("rid"))
     on = F.lit(True)

@@ -104,3 +104,20 @@ def test_no_link_is_left_out_however_many_agree(spark):
     rows = encoded(spark, [(i, 1 - i / 1000, 7 if i % 2 else None, 7.0) for i in range(1, 301)])
     roots = {r.root for r in listings.components(listings.same_values(rows).unionByName(listings.links(rows))).collect()}
     assert roots == {1}
+
+
+def test_all_words_of_a_name_count():
+    words = listings.Reader([]).series("Роскошный эксклюзивный премиальный шикарный изысканный элитный великолепный Вулузасо", [], None)
+    assert listings._skeleton("Вулузасо") in words
+    f = listings._columns(listings.pd.DataFrame({"series": [list(range(1, 12)), [11], [12]], "colour": ["white"] * 3, "code_h": [None] * 3, "spare": [False] * 3, "size": [1.0] * 3, "height": [1.0] * 3, "watt": [1.0] * 3}))
+    assert listings._agree(f, np.array([0, 0]), f, np.array([1, 2])).tolist() == [True, False]
+
+
+def test_missing_value_is_no_veto_where_one_product_is_left(spark):
+    base = [(1, 1.0, 1, 7.0), (2, 1.0, 1, 7.0), (5, 1.0, None, None)]
+    for more, want in (([], {1: 1, 2: 1, 5: 1}), ([(9, 1.0, 9, 9.0)], {1: 1, 2: 1})):
+        rows = encoded(spark, base + more)
+        found = listings.all_links(rows)
+        roots = listings.components(listings.same_values(rows).unionByName(found.filter("sure").select("a", "b")))
+        got = listings.join_lacking(found.filter("not sure").select("a", "b"), roots)
+        assert {r.id: r.root for r in got.collect()} == want
