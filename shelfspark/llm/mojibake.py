@@ -242,22 +242,47 @@ class Restorer:
                 emoji = any(ord(c) >= 0x1F000 for c in fixed)
                 if (sure and self.score(fixed) >= self.score(word)) or gain > MARGIN or emoji:
                     best = (max(gain, MARGIN), fixed, None)
-        pairs = BYTE_PAIRS if sum(ord(c) > 127 for c in word) >= 3 else ()
+        pairs = BYTE_PAIRS if sum(ord(c) > 127 for c in word) >= 3 else ()  # of fewer, the passage decides
         for pair in pairs:
-            fixed = self._by_pair(word, pair)
-            if fixed is None:
+            got = self._by_pair_gain(word, pair)
+            if got is None:
                 continue
-            s = self._gain(word, fixed)
-            # a word's capitals stand at its start or run through it
-            body = "".join(c for c in fixed if c.isalpha())
-            if not (body.islower() or body.isupper() or body[1:].islower()):
-                s -= 3.0
+            s, fixed = got
             if s > MARGIN and (best is None or s > best[0]) and self.score(fixed) > LIKELY:
                 best = (s, fixed, pair)
         if best:
             return best[1], True, best[2]
         return word, garbled, None
 
+    def _by_pair_gain(self, word: str, pair: tuple[str, str]) -> tuple[float, str] | None:
+        """Nats gained by reading the word by the pair, and the word as read."""
+        fixed = self._by_pair(word, pair)
+        if fixed is None:
+            return None
+        s = self._gain(word, fixed)
+        # a word's capitals stand at its start or run through it
+        body = "".join(c for c in fixed if c.isalpha())
+        if not (body.islower() or body.isupper() or body[1:].islower()):
+            s -= 3.0
+        return s, fixed
+
+    def _passage(self, words: list[str]) -> dict[str, tuple[str, bool, tuple]]:
+        """Of words with too few foreign characters to tell by themselves, those that are garbled:
+        all are read by one pair, the one whose gains and losses sum up to the most."""
+        best: tuple[float, dict[str, tuple[str, bool, tuple]]] = (MARGIN, {})
+        for pair in BYTE_PAIRS:
+            total, out = 0.0, {}
+            for w in dict.fromkeys(words):
+                got = self._by_pair_gain(w, pair)
+                if got is None or self.score(got[1]) <= LIKELY:
+                    continue
+                total += got[0]
+                if got[0] > 0:
+                    out[w] = (got[1], True, pair)
+            if total > best[0]:
+                best = (total, out)
+        return best[1]
+
     def _by_pair(self, word: str, pair: tuple[str, str]) -> str | None:
         """The word's bytes read as they were written; None if that gives no ordinary text."""
         raw = _bytes(word, pair[0])
@@ -279,13 +304,20 @@ class Restorer:
             return text, 0
         words = list(_SPLIT.finditer(text))
         done: list[tuple | None] = [None] * len(words)
-        h = 0
+        h, few = 0, []
         for i, m in enumerate(words):
             while h < len(hits) and hits[h] < m.start():
                 h += 1
             if h < len(hits) and hits[h] < m.end():
                 got = self.word(m[0])
                 done[i] = got if got[1] else None
+                if not got[1] and not m[0].isascii():
+                    few.append(i)
+        # those with one or two foreign characters are judged together
+        few = [i for i in few if sum(ord(c) > 127 for c in words[i][0]) < 3]
+        together = self._passage([words[i][0] for i in few]) if few else {}
+        for i in few:
+            done[i] = together.get(words[i][0])
         # words too short to tell by themselves go with a garbled word a few places off
         for step in (1, -1):
             pair, far = None, 0

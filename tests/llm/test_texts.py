@@ -45,6 +45,13 @@ def test_only_the_passage_is_touched(restorer):
     assert restorer.text("Prote��o")[1] == 1 and restorer.text(None) == (None, 0) and restorer.text("") == ("", 0)
 
 
+@pytest.mark.parametrize("wrong", ["cp1251", "koi8-r", "cp866"])
+def test_words_with_one_or_two_foreign_letters_come_back(restorer, wrong):
+    bad = "".join(mojibake._DECODE[wrong][b] for b in CLEAN[2].encode("cp1252"))
+    fixed, n = restorer.text(bad)
+    assert fixed == CLEAN[2] and n == 3
+
+
 def test_restore_table(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CLEAN * 3)] + [(100, "Größe".encode().decode("cp1252")[:0] + "GrÃ¶Ã\x9fe", "x"), (101, None, ""), (102, "", "")], "doc_id long, text string, restored string")
     got = mojibake.restore(df, "doc_id", "text").filter("n_garbled > 0").collect()
