@@ -111,3 +111,13 @@ def grouped_search(corpus: DataFrame, queries: DataFrame, group: str, vector: st
     hits = corpus.select(F.col(product).alias("p"), F.col(image).alias("i"), F.col(vector).alias("v")).filter("v is not null").mapInPandas(run, f"g {gk}, p {pk}, score double, i {ik}")
     best = hits.groupBy("g", "p").agg(F.max("score").alias("score"), F.min_by("i", F.struct(-F.col("score"), "i")).alias("best_image"))
     return top_k(best, ["g"], [F.col("score").desc(), F.col("p").asc()], k).select(F.col("g").alias(group), F.col("p").alias(product), "score", "best_image", "rank_no")
+
+
+def cached(wanted: DataFrame, cache: DataFrame, dim: int) -> DataFrame:
+    """Model, version, hash, vector of every key of ``wanted``, each once: the cache's vector
+    of just that model, version and hash if it is sound (``dim`` numbers, all finite), else null:
+    it is to be encoded again. Of several sound ones the smallest holds."""
+    keys = ["model", "version", "hash"]
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    sound = cache.filter((F.size("vector") == dim) & finite).groupBy(*keys).agg(F.min("vector").alias("vector"))
+    return wanted.select(*keys).distinct().join(sound, keys, "left")

@@ -84,3 +84,14 @@ def test_pages(spark):
     assert [r.location for r in pages.sitemap_locations(maps, "id", "xml").collect()] == ["https://a/?x=1&y", "https://b"]
     edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "r"), ("x", "y")], "parent string, child string")
     assert sorted(map(tuple, pages.crawl(edges, spark.createDataFrame([("r",)], "url string")).collect())) == [("a", 1), ("b", 2), ("r", 0)]
+
+
+def test_cache_gives_sound_vectors_of_the_same_model_and_version(spark):
+    from shelfspark.operators.vectors import cached
+
+    kind = "model string, version string, hash string, vector array<double>"
+    rows = [("m", "v2", "good", [1.0, 2.0]), ("m", "v1", "old", [1.0, 2.0]), ("n", "v2", "other", [1.0, 2.0]), ("m", "v2", "nan", [1.0, float("nan")]), ("m", "v2", "inf", [float("-inf"), 1.0]), ("m", "v2", "hole", [1.0, None]), ("m", "v2", "short", [1.0]), ("m", "v2", "null", None), ("m", "v2", "twice", [float("nan"), 1.0]), ("m", "v2", "twice", [3.0, 4.0])]
+    names = ["good", "old", "other", "nan", "inf", "hole", "short", "null", "twice", "missing"]
+    wanted = spark.createDataFrame([("m", "v2", h) for h in names * 2], "model string, version string, hash string")
+    got = cached(wanted, spark.createDataFrame(rows, kind), 2).collect()
+    assert len(got) == len(names) and {r.hash: r.vector for r in got if r.vector} == {"good": [1.0, 2.0], "twice": [3.0, 4.0]}
