@@ -1,207 +1,304 @@
 """Page boilerplate mixed with main content.
 
-Per host, it is counted on how many distinct pages each line, and each beginning of a line, stands.
-A line that is neither prose nor a specification is a remain of the page if the line or its
-beginning recurs on other pages or it looks like navigation; a unique one is kept. Prose is a
-template's if it recurs as a whole line on ``TEMPLATE_PAGES`` pages and neither it nor a half of it
-stands anywhere else on the host; a sentence about a product recurs inside other lines, too. These
-occurrences are counted with suffix arrays over the token streams of the host's pages.
-
-Hosts are cut into shards of bounded text, so no task holds more than ``SHARD_CHARS`` and the
-repeated lines that are looked for; all counts are summed over a host's shards before deciding.
+The texts of a host are joined to one stream of tokens, and a suffix array over it tells which runs
+of tokens stand on several distinct pages. What repeats decides; no word of any language is known
+here:
+
+- A line is covered when the run it begins with (``LEAD`` tokens, or the whole of a shorter line)
+  begins lines of ``PAGES`` pages or more. Lines that nothing covers are unique and stay.
+- A covered line is free when its run stands in the middle of other lines, too, at the beginning of
+  a sentence: sentences about products are put together in ever new ways, a page's own lines are
+  not. Free lines stay. A line that ends as a sentence does is free by one such line; it goes only
+  if it stands as a whole on ``TEMPLATE_PAGES`` pages.
+- A line "name: value" stays if the name is a property's: a host gives it several short values, and
+  these recur over the corpus.
+
+``other_lines`` is for fields that hold one statement among remains of the page: of its lines, it is
+the one that stands as a whole text by itself on other pages of the host, else one that repeats on few.
+
+Hosts are cut into shards, so no task holds more than ``SHARD_CHARS`` and one page; of a host in
+several shards all counts are summed over them by fingerprints of the runs before anything is
+decided, so shards give what one block gives.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shelfspark.session import blocks, cut_lineage
 
 #: Text one task looks at together.
 SHARD_CHARS = 8_000_000
-#: Depth to which prefixes are compared, in tokens, unless a longer line is looked for.
-DEPTH = 64
-#: Pages of a host on which prose is a template's; tokens that make a beginning.
-TEMPLATE_PAGES, LEAD = 5, 3
-_TOKEN = regex.compile(r"\p{L}+|\p{N}+|\n|[^\s\p{L}\p{N}]")
-#: Names of product properties in specification lines, Russian, English, German.
-SPEC_KEYS = (
-    "цвет", "материал", "мощность", "степень защиты", "цоколь", "напряжение", "световой поток", "цветовая температура", "вес", "высота", "ширина", "диаметр", "длина", "стиль", "размеры", "серия", "источник света",
-    "colour", "color", "material", "power", "wattage", "protection", "socket", "base", "voltage", "luminous flux", "colour temperature", "weight", "height", "width", "diameter", "length", "style", "size", "dimensions", "series", "light source",
-    "farbe", "leistung", "schutzart", "sockel", "fassung", "spannung", "lichtstrom", "farbtemperatur", "gewicht", "höhe", "breite", "durchmesser", "länge", "stil", "maße", "serie", "leuchtmittel",
-)
-_SPEC = regex.compile(r"\s*(?:" + "|".join(map(regex.escape, sorted(SPEC_KEYS, key=len, reverse=True))) + r")\s*[:—–=-]\s*\S.{0,60}", regex.I)
-_PROSE = regex.compile(r".*\p{L}{2,}.*[.!?…][\"»”)\]]*\s*", regex.S)
-_NAVIGATION = regex.compile(r"\s[|·>»›→/•]\s|\S {2,}\S|^©|cookie", regex.I)
+#: Tokens of the run that covers a line; pages that make it a repeat; pages that make a sentence a template's.
+LEAD, PAGES, TEMPLATE_PAGES = 3, 2, 5
+_TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|\x00|[^\s\w]|_")
+_PROPERTY = re.compile(r"\s*([^\W\d_]+(?: [^\W\d_]+){0,2})(?:\s*[:=—–]\s*|\s+-\s+)(\w[\w,.%-]*(?: \w[\w,.%-]*){0,2})\s*")
+_STARTS, _ENDS, _CLOSES = ".!?…:", ".…", ")]\"»”"
 
 
 class Suffixes:
-    """Suffix array of integer tokens by prefix doubling, and the common prefixes in its order."""
+    """Suffix array of integer tokens by prefix doubling; ``levels[k]`` holds the rank of every
+    place by its first 2**k tokens. Only places whose ranks are still shared are sorted again."""
 
-    def __init__(self, tokens: np.ndarray, depth: int = DEPTH) -> None:
+    def __init__(self, tokens: np.ndarray, depth: int | None = None) -> None:
         n = len(tokens)
-        _, rank = np.unique(tokens, return_inverse=True)
-        self.levels = [rank.astype(np.int64)]
+        _, inverse, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+        rank = (np.cumsum(counts) - counts)[inverse] if n else np.zeros(0, int)
+        self.order = np.argsort(rank, kind="stable")
+        self.levels = [rank.astype(np.int32)]
         k = 1
-        while k < min(depth, n):
+        while k < min(n, depth or n):
             rank = self.levels[-1]
-            nxt = np.full(n, -1, np.int64)
-            nxt[: n - k] = rank[k:]
-            _, new = np.unique(rank * (n + 1) + nxt + 1, return_inverse=True)
-            self.levels.append(new.astype(np.int64))
-            k *= 2
-            if self.levels[-1].max() == n - 1:  # no two are equal any more
+            again = rank[self.order[1:]] == rank[self.order[:-1]]
+            slots = np.flatnonzero(np.r_[False, again] | np.r_[again, False])
+            if not len(slots):
                 break
-        self.order = np.argsort(self.levels[-1], kind="stable")
-        i, j = self.order[:-1].copy(), self.order[1:].copy()
-        common = np.zeros(max(0, n - 1), np.int64)
-        alive = np.ones(len(common), bool)
-        for level in range(len(self.levels) - 1, -1, -1):
-            rank, step = self.levels[level], 1 << level
-            ok = alive & (i < n) & (j < n)
-            same = ok.copy()
-            same[ok] = rank[i[ok]] == rank[j[ok]]
-            common[same] += step
-            i[same] += step
-            j[same] += step
-        self.common = np.concatenate(([0], common))
-        self.at = np.empty(n, np.int64)
-        self.at[self.order] = np.arange(n)
-
-    def groups(self, length: int) -> np.ndarray:
-        """For every place of the array, the number of its group of equal first ``length`` tokens."""
-        return np.cumsum(self.common < length)
-
-
-def repeats(pages: list[str], since: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For every line of every page, in order: page number, distinct pages on which it stands as a
-    whole line, its occurrences as a whole line, and its occurrences inside other lines. Numbers
-    count as equal. Lines of pages before number ``since`` are searched but not counted for."""
-    ids: dict[str, int] = {"\n": 0, "#": 1}
-    stream: list[int] = []
-    page_of: list[int] = []
-    starts, lengths, owner = [], [], []
-    for p, text in enumerate(pages):
-        stream.append(-1 - p)  # no run crosses pages
-        stream.append(0)
-        begin = len(stream)
-        for m in _TOKEN.finditer(text + "\n"):
-            t = m[0]
-            if t == "\n":
-                starts.append(begin), lengths.append(len(stream) - begin), owner.append(p)
-                stream.append(0)
-                begin = len(stream)
-            else:
-                stream.append(1 if t[0].isdigit() else ids.setdefault(t, len(ids)))
-        page_of += [p] * (len(stream) - len(page_of))
-    starts, lengths, owner = np.array(starts, int), np.array(lengths, int), np.array(owner, int)
-    on_pages, whole, inside = (np.zeros(len(starts), np.int64) for _ in range(3))
-    if not len(starts):
-        return owner, on_pages, whole, inside
-    tokens, of = np.array(stream, np.int64), np.array(page_of, np.int64)
-    counted = owner >= since
-    longest = int(lengths[counted].max(initial=0))
-    sa = Suffixes(tokens, max(DEPTH, longest + 2))
-    page_at = of[sa.order]
-    for length in np.unique(lengths[counted]):
-        if length == 0:
-            continue
-        mine = np.flatnonzero(counted & (lengths == length))
-        bounded, free = sa.groups(length + 2), sa.groups(length)
-        b, f = bounded[sa.at[starts[mine] - 1]], free[sa.at[starts[mine]]]
-        wanted = np.zeros(bounded[-1] + 1, bool)
-        wanted[b] = True
-        keep = wanted[bounded]
-        pairs = np.unique(bounded[keep] * len(pages) + page_at[keep])
-        pages_in = np.bincount(pairs // len(pages), minlength=bounded[-1] + 1)
-        count_in = np.bincount(bounded[keep], minlength=bounded[-1] + 1)
-        on_pages[mine], whole[mine] = pages_in[b], count_in[b]
-        inside[mine] = np.bincount(free, minlength=free[-1] + 1)[f] - count_in[b]
-    return owner, on_pages, whole, inside
-
-
-def looks(line: str) -> str:
-    """What a line looks like: blank, spec, prose, navigation or other."""
-    if not line.strip():
-        return "blank"
-    if _SPEC.fullmatch(line) is not None:
-        return "spec"
-    if _NAVIGATION.search(line) is not None:
-        return "navigation"
-    words = len(regex.findall(r"\p{L}+", line))
-    prose = words >= 3 and _PROSE.fullmatch(line) is not None and line.rstrip()[-1] in ".)…\"»”" and line.rstrip(")\"»” ")[-1:] in ".…"
-    return "prose" if prose else "other"
-
-
-def _tokens(line: str) -> list[str]:
-    return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(line)]
+            at = self.order[slots]
+            after = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+            key = rank[at].astype(np.int64) * (n + 1) + after
+            by = np.argsort(key, kind="stable")
+            at, key = at[by], key[by]
+            self.order[slots] = at
+            first = np.r_[True, key[1:] != key[:-1]]
+            new = rank.copy()
+            new[at] = np.maximum.accumulate(np.where(first, slots, 0))
+            self.levels.append(new)
+            k *= 2
+
+    def same(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """A number for every run (start, length > 0): equal runs have equal numbers. A run is
+        told by the ranks of the two powers of two that cover it."""
+        level = np.minimum(np.frexp(lengths.astype(float))[1] - 1, len(self.levels) - 1)
+        head, tail = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for k in np.unique(level):
+            of = level == k
+            head[of] = self.levels[k][starts[of]]
+            tail[of] = self.levels[k][starts[of] + lengths[of] - (1 << int(k))]
+        pair = pd.factorize(head * (len(self.order) + 1) + tail)[0].astype(np.int64)
+        return pd.factorize(pair * (int(lengths.max(initial=0)) + 1) + lengths)[0]
+
+
+class Lines(NamedTuple):
+    """The lines of the pages of a stream, in order, and the beginnings of sentences within lines."""
+
+    page: np.ndarray
+    no: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    sentence: np.ndarray  # does it end as a sentence does
+    middle: np.ndarray  # places
+    middle_line: np.ndarray
+    tokens: np.ndarray
+    words: np.ndarray
+
+
+def read(pages: list[str]) -> Lines:
+    """Tokens are folded, all numbers count as one."""
+    found = _TOKEN.findall("".join("\x00\n" + t.replace("\x00", " ") + "\n" for t in pages))
+    codes, spelt = pd.factorize(np.array(found, object)) if found else (np.zeros(0, int), np.zeros(0, object))
+    folded, words = pd.factorize(np.array(["#" if w[0].isnumeric() else w.casefold() for w in spelt], object)) if len(spelt) else (codes, spelt)
+    tokens = folded[codes].astype(np.int64) if len(spelt) else np.zeros(0, np.int64)
+    code = {w: i for i, w in enumerate(words)}
+    is_in = lambda marks: np.isin(tokens, [code[m] for m in marks if m in code])
+    page = np.cumsum(tokens == code.get("\x00", -1)) - 1
+    breaks = np.flatnonzero(tokens == code.get("\n", -1))
+    inner = np.flatnonzero(page[breaks[1:]] == page[breaks[:-1]])
+    start, length = breaks[inner] + 1, breaks[inner + 1] - breaks[inner] - 1
+    of_page = page[start - 1] if len(start) else np.zeros(0, int)
+    first = np.r_[True, of_page[1:] != of_page[:-1]] if len(of_page) else np.zeros(0, bool)
+    no = np.arange(len(start)) - np.maximum.accumulate(np.where(first, np.arange(len(start)), 0)) + 1
+    closes, ends, starts = is_in(_CLOSES), is_in(_ENDS), is_in(_STARTS)
+    last = start + length - 1
+    for _ in range(3):
+        last = np.where((last >= start) & closes[last], last - 1, last)
+    sentence = (last >= start) & ends[np.maximum(last, 0)] & (length > LEAD)
+    middle = np.flatnonzero(starts[:-1] & (tokens[1:] != code.get("\n", -1))) + 1
+    tokens[tokens == code.get("\x00", -1)] = -1 - np.arange(len(pages))  # no run crosses pages
+    return Lines(of_page, no, start, length, sentence, middle, np.searchsorted(start, middle, "right") - 1, tokens, words)
+
+
+def _distinct(group: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """For every group (0 to n - 1) how many distinct values of ``of`` it holds."""
+    top = int(of.max(initial=0)) + 1
+    return np.bincount(np.unique(group * top + of) // top, minlength=n)
+
+
+class Counts(NamedTuple):
+    """What repeats, for every line: pages that begin a line with its run, pages on which it stands
+    as a whole, texts that are nothing but it, distinct lines in whose middle its run stands."""
+
+    lead: np.ndarray
+    whole: np.ndarray
+    alone: np.ndarray
+    free: np.ndarray
+
+
+def count(x: Lines) -> Counts:
+    n = len(x.start)
+    if not n:
+        return Counts(*[np.zeros(0, np.int64)] * 4)
+    sa = Suffixes(x.tokens, int(x.length.max()) + 2)
+    whole = sa.same(x.start - 1, x.length + 2)
+    lead = sa.same(x.start - 1, _run(x, x.start, np.arange(n)) + 1)
+    loose = sa.same(np.r_[x.start, x.middle], np.r_[_run(x, x.start, np.arange(n)), _run(x, x.middle, x.middle_line)])
+    single = np.bincount(x.page)[x.page] == 1
+    return Counts(
+        _distinct(lead, x.page, lead.max() + 1)[lead], _distinct(whole, x.page, whole.max() + 1)[whole],
+        np.bincount(whole, weights=single, minlength=whole.max() + 1).astype(np.int64)[whole], _distinct(loose[n:], whole[x.middle_line], loose.max() + 1)[loose[:n]],
+    )
+
+
+def _run(x: Lines, at: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """Length of the run that begins at a place of a line; a short one takes the line's end in."""
+    return np.minimum(LEAD, x.start[line] + x.length[line] - at + 1)
+
+
+def _prints(x: Lines, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Fingerprints of runs that hold in every shard: sums of the tokens' hashes times powers."""
+    hashes = pd.util.hash_array(x.words.astype(object))[np.maximum(x.tokens, 0)]
+    power = np.cumprod(np.full(int(lengths.max(initial=0)) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    out = np.zeros(len(starts), np.uint64)
+    for lo in range(0, len(starts), 50_000):
+        s, m = starts[lo : lo + 50_000], lengths[lo : lo + 50_000]
+        ends = np.cumsum(m)
+        places = np.arange(ends[-1]) - np.repeat(ends - m, m)
+        out[lo : lo + 50_000] = np.add.reduceat(hashes[np.repeat(s, m) + places] * power[places], ends - m) * np.uint64(31) + m.astype(np.uint64)
+    return out.view(np.int64)
+
+
+_FIELDS = {"k": None, "h": "string", "s": "int", "page": "bigint", "line_no": "bigint", "line": "string", "sentence": "boolean", "blank": "boolean", "several": "boolean", "lead": "bigint", "whole": "bigint", "alone": "bigint", "free": "bigint", "name": "string", "value": "string", "lead_fp": "bigint", "whole_fp": "bigint"}
+_SUMS = {"kind": "int", "fp": "bigint", "pages": "bigint", "low": "bigint", "high": "bigint"}
+#: Kinds of the counts that are summed over shards.
+_LEADS, _WHOLES, _ALONE, _FREE = range(4)
+
+
+def _shard(keep: Callable[[Lines, Counts], np.ndarray], text_too: bool) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The lines of a shard with what repeats, those that ``keep`` names; of a host of several
+    shards all, and the counts to be summed up."""
+
+    def run(pages: pd.DataFrame) -> pd.DataFrame:
+        x = read(pages["t"].tolist())
+        c = count(x)
+        parts = int(pages["shards"].iloc[0])
+        lines = [line for t in pages["t"] for line in t.replace("\x00", " ").split("\n")]
+        shape = [m if (m := _PROPERTY.fullmatch(line)) and len(line) < 200 else None for line in lines]
+        out = {
+            "k": pages["k"].to_numpy()[x.page], "h": pages["h"].iloc[0], "s": pages["s"].iloc[0], "page": x.page, "line_no": x.no, "line": lines if text_too else None, "sentence": x.sentence, "blank": x.length == 0, "several": several(x),
+            "lead": c.lead, "whole": c.whole, "alone": c.alone, "free": c.free, "name": [m and m[1].casefold() for m in shape], "value": [m and m[2].casefold() for m in shape], "lead_fp": None, "whole_fp": None,
+        }
+        sums = pd.DataFrame({f: pd.Series(dtype="object") for f in _SUMS})
+        if parts > 1:
+            n = len(x.start)
+            own = np.arange(n)
+            whole_fp, lead_fp = _prints(x, x.start, x.length + 1), _prints(x, x.start, _run(x, x.start, own))
+            middle_fp = _prints(x, x.middle, _run(x, x.middle, x.middle_line)) if len(x.middle) else np.zeros(0, np.int64)
+            out |= {"lead_fp": lead_fp, "whole_fp": whole_fp}
+            sums = pd.concat([
+                pd.DataFrame({"kind": _LEADS, "fp": lead_fp, "pages": c.lead}).drop_duplicates(), pd.DataFrame({"kind": _WHOLES, "fp": whole_fp, "pages": c.whole}).drop_duplicates(), pd.DataFrame({"kind": _ALONE, "fp": whole_fp, "pages": c.alone}).drop_duplicates(),
+                pd.DataFrame({"kind": _FREE, "fp": middle_fp, "in": whole_fp[x.middle_line]}).groupby(["kind", "fp"], as_index=False).agg(low=("in", "min"), high=("in", "max")),
+            ])
+        frame = pd.DataFrame(out)
+        if parts == 1:
+            frame = frame[keep(x, c) | frame["name"].notna().to_numpy()]
+        sums = sums.assign(h=pages["h"].iloc[0], s=pages["s"].iloc[0])
+        return pd.concat([frame, sums]).reindex(columns=[*_FIELDS, *_SUMS]) if len(sums) else frame.reindex(columns=[*_FIELDS, *_SUMS])
+
+    return run
+
+
+def evidence(pages: DataFrame, key: str, host: str, text: str, keep: Callable[[Lines, Counts], np.ndarray], text_too: bool = False) -> DataFrame:
+    """One row per line (those ``keep`` names) with what repeats of it on its host."""
+    kind = pages.schema[key].dataType.simpleString()
+    rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(host), F.lit("")).alias("h"), F.col(text).alias("t")).filter("t is not null")
+    large = rows.groupBy("h").agg(F.ceil(F.sum(F.length("t")) / SHARD_CHARS).cast("int").alias("shards")).filter("shards > 1")
+    shards = F.coalesce("shards", F.lit(1))
+    rows = rows.join(large, "h", "left").select("k", "h", "t", shards.alias("shards"), F.pmod(F.xxhash64("k", "t"), shards).cast("int").alias("s"))
+    types = _FIELDS | {"k": kind}
+    schema = ", ".join(f"{f} {t}" for f, t in (types | _SUMS).items())
+    found = cut_lineage(rows.repartition(blocks(pages.sparkSession), "h", "s").groupBy("h", "s").applyInPandas(_shard(keep, text_too), schema))
+    lines = found.filter("kind is null").select(*_FIELDS)
+    # hosts in several shards: sums over the shards, brought back once for every shard
+    sums = found.filter("kind is not null").select("h", "s", *_SUMS)
+    if sums.isEmpty():
+        return lines
+    free = F.when(F.min("low") < F.max("high"), 2).otherwise(1)  # two distinct lines are enough to know
+    total = sums.groupBy("h", "kind", "fp").agg(F.when(F.col("kind") == _FREE, free).otherwise(F.sum("pages")).cast("bigint").alias("n"))
+    asked = sums.filter(F.col("kind") != _FREE).select("h", "s", "kind", "fp")
+    asked = asked.unionByName(asked.filter(F.col("kind") == _LEADS).withColumn("kind", F.lit(_FREE)))
+    back = asked.join(total, ["h", "kind", "fp"])
+    parted = lines.filter("lead_fp is not null")
+    for name, fp, of in (("lead", "lead_fp", _LEADS), ("whole", "whole_fp", _WHOLES), ("alone", "whole_fp", _ALONE), ("free", "lead_fp", _FREE)):
+        got = back.filter(F.col("kind") == of).select("h", "s", "fp", "n")
+        got = got.withColumnsRenamed({"fp": fp, "n": f"_{name}"})
+        parted = parted.join(got, ["h", "s", fp], "left").withColumn(name, F.coalesce(f"_{name}", F.lit(0))).drop(f"_{name}")
+    return lines.filter("lead_fp is null").unionByName(parted.select(*_FIELDS))
+
+
+def several(x: Lines) -> np.ndarray:
+    """Which lines are of texts of two lines or more."""
+    return np.bincount(x.page)[x.page] > 1 if len(x.page) else np.zeros(0, bool)
+
+
+def _template(x: Lines, c: Counts) -> np.ndarray:
+    covered = (c.lead >= PAGES) & (c.free < np.where(x.sentence, 1, 2)) & (~x.sentence | (c.whole >= TEMPLATE_PAGES))
+    return several(x) & ((x.length == 0) | covered)
+
+
+def property_names(lines: DataFrame) -> DataFrame:
+    """name: of lines "name: value" those of properties: on one host at least they have two values,
+    and of all lines with the name at least half have a value that recurs, as two values do."""
+    each = lines.filter("name is not null").groupBy("name", "h", "value").agg(F.count("*").alias("n"))
+    hosts = each.groupBy("name", "h").agg(F.count("*").alias("values")).groupBy("name").agg(F.max("values").alias("values")).filter("values > 1")
+    values = each.groupBy("name", "value").agg(F.sum("n").alias("n"))
+    recur = values.groupBy("name").agg(F.count_if(F.col("n") > 1).alias("recurring"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("in_them"), F.sum("n").alias("all"))
+    return recur.filter("recurring > 1 and 2 * in_them >= all").join(hosts, "name", "left_semi").select("name")
 
 
 def boilerplate_lines(pages: DataFrame, key: str, host: str, text: str) -> DataFrame:
     """key, line_no (from 1) of every line that isn't main content, of texts of two lines or more.
 
-    Null, empty and one-line texts give no row; blank lines count as boilerplate; a null host is a
-    host of its own; texts are read whole; repeated rows count as pages of their own and repeat;
-    other columns are ignored.
+    Null texts give no row, empty and one-line texts are read but give no row; blank lines count as
+    boilerplate; a null host is a host of its own; texts are read whole, to the last token; repeated
+    rows count as pages of their own and repeat; other columns are ignored.
     """
-    kind = pages.schema[key].dataType.simpleString()
-    rows = pages.select(F.col(key).alias("k"), F.coalesce(F.col(host), F.lit("")).alias("h"), F.col(text).alias("t")).filter(F.col("t").contains("\n"))
-    chars = rows.groupBy("h").agg(F.ceil(F.sum(F.length("t")) / SHARD_CHARS).cast("int").alias("shards"))
-    shard: Column = F.pmod(F.xxhash64("k", "t"), F.col("shards")).cast("int")
-    rows = rows.join(chars, "h").select("k", "h", "t", shard.alias("s"))
+    lines = evidence(pages, key, host, text, _template)
+    least: Column = F.when(F.col("sentence"), 1).otherwise(2)
+    covered = (F.col("lead") >= PAGES) & (F.col("free") < least) & (~F.col("sentence") | (F.col("whole") >= TEMPLATE_PAGES))
+    out = lines.filter("several").filter(F.col("blank") | covered)
+    named = out.filter("name is not null").join(property_names(lines), "name", "left_anti")
+    return out.filter("name is null").select("k", "line_no").unionByName(named.select("k", "line_no")).withColumnRenamed("k", key)
+
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def other_lines(pages: DataFrame, key: str, host: str, text: str, states: Callable[[], Callable[[str], float]]) -> DataFrame:
+    """key, line_no (from 1) of the lines of a text of two lines or more that aren't its one
+    statement.
+
+    Of a text's lines the statement is the one with the greatest share of texts that are nothing
+    but it among all of the host's texts that hold it; of equals one that stands on fewer than
+    ``TEMPLATE_PAGES`` pages. Where repeats tell no difference, ``states`` (makes a function, in the task,
+    that says how surely a line states something) decides, then the order; if that says nothing
+    either, the text states nothing and all its lines come out. Blank lines are never the statement.
+    Null and one-line texts give no row; repeated rows count as pages of their own and repeat.
+    """
+    lines = evidence(pages, key, host, text, lambda x, c: several(x), text_too=True).filter("several")
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sure = states()
         for pdf in frames:
-            out = []
-            for k, h, t in zip(pdf["k"], pdf["h"], pdf["t"]):
-                seen: set[str] = set()
-                for no, line in enumerate(t.split("\n"), 1):
-                    kind_ = looks(line)
-                    if kind_ == "spec":
-                        continue
-                    tokens = _tokens(line)
-                    key_, lead = " ".join(tokens), "\n" + " ".join(tokens[:LEAD])
-                    out.append((k, h, no, kind_, key_, lead, key_ not in seen, lead not in seen))
-                    seen |= {key_, lead}
-            yield pd.DataFrame(out, columns=["k", "h", "line_no", "kind", "key", "lead", "new", "new_lead"])
-
-    lines = cut_lineage(rows.mapInPandas(read, f"k {kind}, h string, line_no bigint, kind string, key string, lead string, new boolean, new_lead boolean"))
-    # prose that recurs as a whole line on enough pages, and where else on the host it or its halves stand
-    often = lines.filter("kind = 'prose'").groupBy("h", "key").agg(F.count_if("new").alias("pages"), F.count("*").alias("whole")).filter(F.col("pages") >= TEMPLATE_PAGES)
-    wanted = cut_lineage(often.join(chars, "h").select("h", "key", "whole", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("s")))
-
-    def count(pages_: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if pages_.empty or asked.empty:
-            return pd.DataFrame({"h": [], "key": [], "all": [], "first": [], "second": []}).astype({"all": "int64", "first": "int64", "second": "int64", "h": "object", "key": "object"})
-        parts = []
-        for x in asked["key"]:
-            t = x.split(" ")
-            parts += [x, " ".join(t[: len(t) // 2]), " ".join(t[len(t) // 2 :])]
-        parts = [x.replace("#", "0") for x in parts]
-        # the lines looked for stand behind the pages; what they hold of one another is taken off
-        _, _, whole, inside = repeats([*pages_["t"], *parts], len(pages_))
-        _, _, own, own_inside = repeats(parts)
-        n = ((whole + inside)[-len(parts) :] - own - own_inside).reshape(-1, 3)
-        return pd.DataFrame({"h": asked["h"].to_numpy(), "key": asked["key"].to_numpy(), "all": n[:, 0], "first": n[:, 1], "second": n[:, 2]})
-
-    n = blocks(pages.sparkSession)
-    searched = rows.repartition(n, "h", "s").groupBy("h", "s").cogroup(wanted.repartition(n, "h", "s").groupBy("h", "s"))
-    found = searched.applyInPandas(count, "h string, key string, all bigint, first bigint, second bigint").groupBy("h", "key").agg(*[F.sum(c).alias(c) for c in ("all", "first", "second")])
-    whole = wanted.groupBy("h", "key").agg(F.first("whole").alias("whole"))
-    templates = found.join(whole, ["h", "key"]).filter("all = whole and first = whole and second = whole").select("h", "key")
-    prose = lines.filter("kind = 'prose'").join(templates, ["h", "key"], "left_semi")
-    other = lines.filter("kind = 'other'")
-    same = other.groupBy("h", "key").agg(F.count_if("new").alias("n")).filter("n > 1").select("h", "key")
-    leads = lines.filter("kind in ('other', 'navigation')").groupBy("h", "lead").agg(F.count_if("new_lead").alias("n")).filter("n > 1").select("h", "lead")
-    alike = other.join(same, ["h", "key"], "left_semi").select("k", "h", "line_no", "key").unionByName(other.join(same, ["h", "key"], "left_anti").join(leads, ["h", "lead"], "left_semi").select("k", "h", "line_no", "key"))
-    parts = [lines.filter("kind in ('blank', 'navigation')"), prose, alike]
-    out = parts[0].select("k", "line_no")
-    for x in parts[1:]:
-        out = out.unionByName(x.select("k", "line_no"))
-    return out.withColumnRenamed("k", key)
+            yield pdf[["k", "h", "s", "page", "line_no"]].assign(tied=-1.0 * (pdf["whole"] >= TEMPLATE_PAGES), share=pdf["alone"] / pdf["whole"].clip(lower=1), sure=[sure(x) for x in pdf["line"]])
+
+    kind = pages.schema[key].dataType.simpleString()
+    rated = lines.filter("not blank").select("k", "h", "s", "page", "line_no", "line", "whole", "alone").mapInPandas(judge, f"k {kind}, h string, s int, page bigint, line_no bigint, tied double, share double, sure double")
+    of_text = Window.partitionBy("h", "s", "page").orderBy(F.desc("share"), F.desc("tied"), F.desc("sure"), "line_no")
+    second = F.lead(F.struct("share", "tied")).over(of_text)
+    best = rated.select("h", "s", "page", "line_no", F.row_number().over(of_text).alias("r"), (F.col("sure") <= 0).alias("silent"), second.eqNullSafe(F.struct("share", "tied")).alias("equal"))
+    best = best.filter("r = 1 and not (silent and equal)").select("h", "s", "page", "line_no")
+    return lines.join(best, ["h", "s", "page", "line_no"], "left_anti").select("k", "line_no").withColumnRenamed("k", key)

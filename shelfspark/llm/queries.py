@@ -18,7 +18,8 @@ UNIFIED_FIELDS = {"sku": True, "name": False}
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     products = spread(table(spark, sf_dir, "catalog_products"))
     described = boilerplate.boilerplate_lines(products, "product_id", "supplier", "description").withColumn("field_name", F.lit("description"))
-    stated = vocabulary.other_lines(products, "product_id", "availability_source_text", "availability", table(spark, sf_dir, "reference_values")).withColumn("field_name", F.lit("availability_source_text"))
+    sure = vocabulary.statements(table(spark, sf_dir, "reference_values"), "availability")
+    stated = boilerplate.other_lines(products, "product_id", "supplier", "availability_source_text", sure).withColumn("field_name", F.lit("availability_source_text"))
     return described.unionByName(stated).select("product_id", "field_name", "line_no")
 
 

@@ -8,7 +8,7 @@ stay below the threshold are reported as meaning no entry.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -239,29 +239,16 @@ def _names(reference: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]]
     return names
 
 
-def other_lines(rows: DataFrame, key: str, field: str, list_name: str, reference: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]] | None = None) -> DataFrame:
-    """key, line_no (from 1) of the lines of a field of two or more lines that don't state the
-    entry of the list: all but the one line that matches best, the first of equals; all lines if
-    none matches. Null and one-line values give no row; repeated rows repeat."""
+def statements(reference: DataFrame, list_name: str, aliases: dict[str, dict[str, tuple[str, ...]]] | None = None) -> Callable[[], Callable[[str], float]]:
+    """Makes, in a task, a function that says how surely a line states an entry of the list; 0.0:
+    not at all, up to 1: similar, above: embedded."""
     names = _names(reference, aliases).get(list_name, [])
-    kind = rows.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make() -> Callable[[str], float]:
         matcher = Matcher(names)
-        for batch in batches:
-            at, numbers = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                lines = text.split("\n")
-                found = [matcher.line(x) for x in lines]
-                best = max(range(len(lines)), key=lambda j: (found[j], -j))
-                keep = best if found[best] > (0, 0.0) else -1
-                for j in range(len(lines)):
-                    if j != keep:
-                        at.append(i), numbers.append(j + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(numbers, pa.int64())], ["k", "line_no"])
-
-    out = rows.select(F.col(key).alias("k"), F.col(field).alias("t")).filter(F.col("t").contains("\n")).mapInArrow(run, f"k {kind}, line_no bigint")
-    return out.withColumnRenamed("k", key)
+        return lambda line: float(matcher.line(line)[1])
+
+    return make
 
 
 def map_values(rows: DataFrame, key: str, fields: dict[str, tuple[str, bool]], reference: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]] | None = None) -> DataFrame:

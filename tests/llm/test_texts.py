@@ -100,35 +100,36 @@ def test_vocabulary_tables(spark):
     df = spark.createDataFrame([(1, None, "Корзина (2)\nIn stock"), (2, "Споты", "x\ny"), (2, "Споты", None)], "product_id long, category string, ref_code string")
     got = vocabulary.map_values(df, "product_id", {"category": ("category", True)}, ref).collect()
     assert [tuple(r) for r in got] == [(2, "category", "spot")] * 2
-    lines = vocabulary.other_lines(df, "product_id", "ref_code", "availability", ref).collect()
-    assert sorted(map(tuple, lines)) == [(1, 1), (2, 1), (2, 2)]
     assert vocabulary.map_values(df.limit(0), "product_id", {"category": ("category", True)}, ref.limit(0)).count() == 0
 
 
 def test_suffix_array_like_brute_force():
     rng = np.random.default_rng(4)
-    for _ in range(5):
-        tokens = rng.integers(0, 3, 60)
-        sa = boilerplate.Suffixes(tokens, depth=16)
-        want = sorted(range(60), key=lambda i: tuple(tokens[i : i + 16]))
-        assert [tuple(tokens[i : i + 16]) for i in sa.order] == [tuple(tokens[i : i + 16]) for i in want]
-        for k in range(1, 60):
-            a, b = tokens[sa.order[k - 1] :], tokens[sa.order[k] :]
-            n = 0
-            while n < min(len(a), len(b), 16) and a[n] == b[n]:
-                n += 1
-            assert min(sa.common[k], 16) == n
-
-
-def test_repeats_count_pages_and_inside():
-    owner, pages, whole, inside = boilerplate.repeats(["Menu\nA b c.\nx 1", "Menu\nq A b c. z", "Menu\nx 22"])
-    assert owner.tolist() == [0, 0, 0, 1, 1, 2, 2]
-    assert pages.tolist() == [3, 1, 2, 3, 1, 3, 2] and inside.tolist()[1] == 1
+    for n in (1, 2, 60, 61):
+        tokens = rng.integers(0, 3, n)
+        for depth in (None, 16):
+            sa = boilerplate.Suffixes(tokens, depth)
+            want = sorted(range(n), key=lambda i: tuple(tokens[i : i + (depth or n)]))
+            assert [tuple(tokens[i : i + (depth or n)]) for i in sa.order] == [tuple(tokens[i : i + (depth or n)]) for i in want]
+        starts = rng.integers(0, n, 80)
+        lengths = np.minimum(rng.integers(1, 16, 80), n - starts)
+        runs = [tuple(tokens[s : s + m]) for s, m in zip(starts, lengths)]
+        got = boilerplate.Suffixes(tokens, 16).same(starts, lengths)
+        assert all((got[i] == got[j]) == (runs[i] == runs[j]) for i in range(80) for j in range(80))
+
+
+def test_repeats_count_pages_texts_and_middles():
+    x = boilerplate.read(["Menu\nA b c.\nx 1", "menu\nq: A b c. z", "Menu\nx 22", "x 4", ""])
+    c = boilerplate.count(x)
+    assert x.page.tolist() == [0, 0, 0, 1, 1, 2, 2, 3, 4] and x.no.tolist() == [1, 2, 3, 1, 2, 1, 2, 1, 1]
+    assert c.whole.tolist() == [3, 1, 3, 3, 1, 3, 3, 3, 1] and c.alone.tolist() == [0, 0, 1, 0, 0, 0, 1, 1, 1]
+    assert c.free.tolist()[1] == 1 and sum(c.free) == 1
+    assert len(boilerplate.count(boilerplate.read([])).lead) == 0
 
 
 def test_boilerplate_table(spark):
     menu, foot = "Главная | Каталог | Контакты", "© 2019 Shop. Все права защищены"
-    text = lambda i: f"{menu}\nЛампа светит {'очень ' * i}ровно вечером.\nМатериал: стекло\nБренды\n{foot}"
+    text = lambda i: f"{menu}\nЛампа светит {'очень ' * i}ровно вечером.\nМатериал: {'стекло' if i % 2 else 'бук'}\nБренды\n{foot}"
     rows = [(i, "h", text(i), 0) for i in range(6)] + [(6, None, "Одна строка", 0), (7, "h", None, 0), (8, "h", "", 0), (9, "h2", "\n" + "слово " * 20_000 + "конец.", 0)]
     got = boilerplate.boilerplate_lines(spark.createDataFrame(rows, "product_id long, supplier string, description string, line_no int"), "product_id", "supplier", "description")
     assert sorted(map(tuple, got.collect())) == [(i, n) for i in range(6) for n in (1, 4, 5)] + [(9, 1)]
@@ -160,3 +161,33 @@ def test_long_template_lines_go(spark):
     words = lambda n: " ".join("".join("абвгдежзик"[int(d)] for d in f"{i:03d}") for i in range(n))
     texts = [f"Лампа {'деж'[i % 3] * (i + 2)} светит ровно.\nДоставка {words(200)} бесплатно." for i in range(6)]
     assert found_lines(spark, texts) == [(i, 2) for i in range(6)]
+
+
+def test_without_repeats_nothing_goes(spark, monkeypatch):
+    texts = ["Главная | Каталог\nЛампа светит ровно.\n© 2019 Shop"] * 6
+    assert found_lines(spark, texts) == [(i, n) for i in range(6) for n in (1, 2, 3)]
+    none = boilerplate.count
+    monkeypatch.setattr(boilerplate, "count", lambda x: boilerplate.Counts(*[np.zeros_like(c) for c in none(x)]))
+    assert found_lines(spark, texts) == []
+
+
+def test_a_menu_in_unknown_letters_goes_and_shards_change_nothing(spark, monkeypatch):
+    menu = ["ქართული", "ᎠᎡᎢ ᎣᎤ", "한국어 메뉴 / 홈"]
+    rows = lambda i: [*menu, f"{'абвгд'[i % 5] * (i + 3)} светит очень ровно.", "Цвет: " + ("белый", "чёрный", "хром")[i % 3], f"Вес {i} кг, нужна закладная. Свет: тёплый."][i % 2 :]
+    texts = ["\n".join(rows(i)) for i in range(40)] + ["ქართული", "Рама лёгкая: вес 4 кг, нужна закладная.\nx"]
+    want = [(i, n) for i in range(40) for n in range(1, 4 - i % 2)]
+    assert found_lines(spark, texts) == want
+    monkeypatch.setattr(boilerplate, "SHARD_CHARS", 300)
+    assert found_lines(spark, texts) == want
+
+
+@pytest.mark.parametrize("shard", [8_000_000, 100])
+def test_the_line_that_states(spark, monkeypatch, shard):
+    monkeypatch.setattr(boilerplate, "SHARD_CHARS", shard)
+    ref = spark.createDataFrame(REFERENCE, "list_name string, ref_code string, label_ru string, label_en string")
+    texts = ["Zzz qq", "Zzz qq\nMenu", "Menu\nBasket (2)\nZzz qq", "Menu\nBasket (7)\n\nin stokc", None, "", "Menu\nMenu\nBasket (1)", "Menu\nother", "In stock", *["Menu\nBasket (3)\nZzz qq"] * 5]
+    df = spark.createDataFrame([(i, "h", t) for i, t in enumerate(texts)], "product_id long, h string, t string")
+    got = boilerplate.other_lines(df, "product_id", "h", "t", vocabulary.statements(ref, "availability"))
+    found = sorted(map(tuple, got.collect()))
+    assert found == [(1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (6, 1), (6, 2), (6, 3), (7, 1), *[(i, n) for i in range(9, 14) for n in (1, 2)]]
+    assert boilerplate.other_lines(df.limit(0), "product_id", "h", "t", vocabulary.statements(ref, "availability")).count() == 0
