@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Families, in the order of the rules that give them. A rule holds if the text has
-# any of ``some`` and, where given, any of ``also``.
+# any of ``some`` and, where given, any of ``also``; words in slashes are patterns.
+WALL = ("настенный светильник", "nastenn", "wall sconce", "sconce", "bra", r"/(^|[^\p{L}\p{N}_])бра([^\p{L}\p{N}_]|$)/")
 RULES: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("track_rail", ("шинопровод", "трек-rail", " track rail", "шина трека", "шинная система"), ()),
     ("track_connector", ("коннектор", "соединитель", "угловой соединитель"), ()),
@@ -23,23 +24,22 @@ RULES: list[tuple[str, tuple[str, ...], tuple[str, ...]]] = [
     ("spot", ("точечный", "downlight", "spotlight", " spot", "/spot", "-spot", "встраиваемый спот", "накладной спот"), ()),
     ("linear_fixture", ("линейный светильник", "линейная лампа", "linear fixture"), ()),
     ("linear_fixture", ("линей",), ("светильник",)),
+    ("decorative_wall", WALL, ("контур", "овал", "кольцо", "декоратив", "светящаяся форма")),
+    ("wall_sconce", WALL, ()),
     ("chandelier", ("многорожков", "многоярусн", "люстра", "chandelier"), ()),
     ("pendant_group", ("группа подвесов", "групповой подвес", "cluster pendant", "подвесная группа"), ()),
     ("pendant_single", ("подвес", "подвесной", "pendant", "suspension"), ()),
     ("accessory", ("аксессуар", "комплектующ", "декор"), ()),
 ]
-WALL = ("настенный светильник", "nastenn", "wall sconce", "sconce", "bra")
-WALL_WORD = r"(^|[^\p{L}\p{N}_])бра([^\p{L}\p{N}_]|$)"
-DECORATIVE = ("контур", "овал", "кольцо", "декоратив", "светящаяся форма")
 #: Families that go together, either way.
 COMPATIBLE = [("wall_sconce", "decorative_wall"), ("track_spot", "magnetic_track_spot"), ("track_spot", "spot"), ("linear_profile", "linear_fixture"), ("pendant_single", "pendant_group")]
 #: ... and one way only: wanted, offered.
 ONE_WAY = [("mirror_light", "wall_sconce"), ("mirror_light", "decorative_wall")]
-FAMILIES = sorted({f for f, _, _ in RULES} | {"wall_sconce", "decorative_wall", "recessed_downlight", "surface_downlight", "unknown"})
+FAMILIES = sorted({f for f, _, _ in RULES} | {"recessed_downlight", "surface_downlight", "unknown"})
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return reduce(lambda a, b: a | b, [text.rlike(w.strip("/")) if w[:1] == w[-1:] == "/" else F.contains(text, F.lit(w)) for w in words])
 
 
 def classify(text: Column) -> Column:
@@ -47,9 +47,6 @@ def classify(text: Column) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
     case = None
     for family, some, also in RULES:
-        if family == "chandelier":  # the wall rules stand before it
-            wall = t.rlike(WALL_WORD) | _any(t, WALL)
-            case = case.when(wall & _any(t, DECORATIVE), "decorative_wall").when(wall, "wall_sconce")
         holds = _any(t, some) & _any(t, also) if also else _any(t, some)
         case = F.when(holds, family) if case is None else case.when(holds, family)
     return case.otherwise("unknown")
@@ -75,11 +72,9 @@ def relation_table(spark: SparkSession) -> DataFrame:
 def sql_classify(text: str) -> str:
     """The same CASE for DuckDB."""
     quote = lambda w: "'" + w.replace("'", "''") + "'"
-    some_of = lambda words: "(" + " OR ".join(f"contains(t, {quote(w)})" for w in words) + ")"
+    test = lambda w: f"regexp_matches(t, {quote(w.strip('/'))})" if w[:1] == w[-1:] == "/" else f"contains(t, {quote(w)})"
+    some_of = lambda words: "(" + " OR ".join(map(test, words)) + ")"
     parts = []
     for family, some, also in RULES:
-        if family == "chandelier":
-            wall = f"(regexp_matches(t, '{WALL_WORD}') OR {some_of(WALL)})"
-            parts += [f"WHEN {wall} AND {some_of(DECORATIVE)} THEN 'decorative_wall'", f"WHEN {wall} THEN 'wall_sconce'"]
         parts.append(f"WHEN {some_of(some)}" + (f" AND {some_of(also)}" if also else "") + f" THEN {quote(family)}")
     return f"(SELECT CASE {' '.join(parts)} ELSE 'unknown' END FROM (SELECT lower(coalesce({text}, '')) AS t))"

@@ -50,23 +50,33 @@ def sku(url: Column) -> Column:
     return F.try_element_at(found, F.lit(-1))
 
 
+# What speaks for a product's address and what against it, as (pattern of the path,
+# points), each counted once; every slash gives a point, up to four.
+PATH_POINTS = (
+    (r"/store/|/product|/tovar|/item|\.html", 6),
+    (r"[a-z]{2,}[0-9]{3,}|[0-9]{5,}", 4),
+    (r"/about/|/news/|/blog/|/catalog/", -2),
+    (r"(/|/catalog|/store)$", -4),
+)
+# Paths that are no product's, ends of paths that are none's, paths that are one's.
+NO_PRODUCT = r"/about/|/news/|/blog/|/article/|/search|/filter"
+NO_PAGE = r"(/|\.xml|\.jpg|\.png|\.webp)$"
+SURE_PRODUCT = r"(?:/[a-zа-я-]{2,}[0-9]{3,}|/[0-9]{5,})(?:/|$)"
+MOST_DEPTH, ENOUGH = 4, 6
+
+
 def product_score(url: Column) -> Column:
     """How much an address looks like a product page's."""
     p = F.lower(path(url))
-    has = lambda *marks: F.when(F.greatest(*[F.contains(p, F.lit(m)).cast("int") for m in marks], F.lit(0)) == 1, 1).otherwise(0)
-    slashes = F.length(p) - F.length(F.replace(p, F.lit("/"), F.lit("")))
-    return (
-        6 * has("/store/", "/product", "/tovar", "/item", ".html")
-        + 4 * F.when(p.rlike("[a-z]{2,}[0-9]{3,}|[0-9]{5,}"), 1).otherwise(0)
-        + F.least(slashes, F.lit(4))
-        - 2 * has("/about/", "/news/", "/blog/", "/catalog/")
-        - 4 * F.when(p.rlike("(/|/catalog|/store)$"), 1).otherwise(0)
-    ).cast("bigint")
+    depth = F.least(F.length(F.regexp_replace(p, "[^/]+", "")), F.lit(MOST_DEPTH))
+    return sum((p.rlike(pattern).cast("int") * points for pattern, points in PATH_POINTS), depth).cast("bigint")
 
 
 def is_product(url: Column) -> Column:
+    """Whether an address may be a product page's."""
     p = F.lower(path(url))
-    return ~p.rlike("/about/|/news/|/blog/|/article/|/search|/filter") & ~p.rlike(r"(/|\.xml|\.jpg|\.png|\.webp)$") & ((product_score(url) >= 6) | p.rlike("(?:/[a-zа-я-]{2,}[0-9]{3,}|/[0-9]{5,})(?:/|$)"))
+    refused = F.coalesce(F.nullif(p.rlike(NO_PRODUCT), F.lit(False)), p.rlike(NO_PAGE))
+    return F.when(refused, F.lit(False)).otherwise((product_score(url) >= ENOUGH) | p.rlike(SURE_PRODUCT))
 
 
 def host_suffixes(h: Column) -> Column:

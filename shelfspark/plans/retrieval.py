@@ -191,21 +191,31 @@ def bm25(spark, d):
     return search.bm25(corpus, "product_id", "doc", asked, "id", "fixture_type", 50).select(F.col("id").alias("requirement_id"), "product_id", F.round("score", 6).alias("score"), "rank_no")
 
 
-# Pages: the catalogue's rows written as pages and sitemaps, then read again ----------------------
+# Pages: the catalogue's rows written as pages and sitemaps, then read again; pages of other makes
+# are in tests/test_pages.py -------------------------------------------------------------------
 def _pages(spark, d):
     p = table(spark, d, "catalog_products")
-    offer = F.struct("price", F.col("currency").alias("priceCurrency"), F.concat(F.lit("https://schema.org/"), F.lit("InStock")).alias("availability"))
-    ld = F.to_json(F.struct(F.lit("Product").alias("@type"), "name", "sku", F.struct(F.col("brand").alias("name")).alias("brand"), offer.alias("offers")))
-    rows = F.concat(F.lit("<table><tr><td>Color</td><td>"), F.coalesce("color", F.lit("")), F.lit("</td></tr></table>"))
-    return p.select("product_id", F.col("canonical_url").alias("url"), F.concat(F.lit('<html><head><script type="application/ld+json">'), ld, F.lit('</script></head><body><a href="/about#x">a</a><a href="'), "source_url", F.lit('">b</a>'), rows, F.lit("<br></body>")).alias("html"))
+    offer = F.struct("price", F.col("currency").alias("priceCurrency"), "availability")
+    ld = F.to_json(F.struct(F.lit("Product").alias("@type"), "name", "sku", F.struct(F.col("brand").alias("name")).alias("brand"), offer.alias("offers"), F.slice("image_urls", 1, 1).alias("image")))
+    row = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<tr><th>{name}</th><td>"), F.format_string("%.1f", c), F.lit(" мм</td></tr>")))
+    specs = F.concat_ws("", row("Высота упаковки", "depth_mm"), F.lit("<tr><th>Package height<td>9999 mm</tr>"), row("Высота", "height_mm"), row("Диаметр", "diameter_mm"))
+    gallery = F.array_join(F.transform("image_urls", lambda u: F.concat(F.lit("<li><img data-src='"), u, F.lit("'></li>"))), "")
+    near = F.concat(F.lit("<ul class=gallery>"), gallery, F.lit("<img src=/logo.png></ul><div class='recommend gallery'><img src=/other.jpg></div>"))
+    body = F.concat(F.lit('<body><a href="/about#x">a</a><a href="'), "source_url", F.lit('">b</a>'), near, F.lit("<table>"), specs, F.lit("</table><br></body>"))
+    return p.select("product_id", F.col("canonical_url").alias("url"), F.concat(F.lit('<html><head><script type="application/ld+json">'), ld, F.lit("</script></head>"), body).alias("html"))
 
 
 _CLEAN = "nullif(trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g')), '')"
 
 
-@query("x1_page_fields", f"""SELECT product_id, true AS is_product, {_CLEAN.format('name')} AS name, {_CLEAN.format('sku')} AS sku, {_CLEAN.format('brand')} AS brand, price, currency, 'InStock' AS availability FROM catalog_products""")
+@query("x1_page_fields", f"""WITH c AS (SELECT *, {_CLEAN.format('name')} AS n, {_CLEAN.format('sku')} AS k FROM catalog_products)
+SELECT product_id, n IS NOT NULL AS is_product, n[:240] AS name, CASE WHEN n IS NOT NULL AND NOT contains(k, ' ') AND length(k) <= 40 THEN k END AS sku, CASE WHEN n IS NOT NULL THEN {_CLEAN.format('brand')} END AS brand,
+CASE WHEN n IS NOT NULL THEN price END AS price, CASE WHEN n IS NOT NULL THEN {_CLEAN.format('currency')} END AS currency, CASE WHEN n IS NOT NULL THEN {_CLEAN.format('availability')} END AS availability,
+CASE WHEN n IS NOT NULL THEN CAST(printf('%.1f', height_mm) AS DOUBLE) END AS height_mm, CASE WHEN n IS NOT NULL THEN CAST(printf('%.1f', diameter_mm) AS DOUBLE) END AS diameter_mm,
+CASE WHEN n IS NOT NULL THEN len(list_distinct(image_urls[:12])) ELSE 0 END AS images, CASE WHEN n IS NOT NULL AND len(image_urls) > 0 THEN 'jsonld' END AS image_source FROM c""")
 def page_fields(spark, d):
-    return pages.parse_pages(_pages(spark, d), "product_id", "html").select("product_id", "is_product", "name", "sku", "brand", "price", "currency", "availability")
+    got = pages.parse_pages(_pages(spark, d), "product_id", "html", "url")
+    return got.select("product_id", "is_product", "name", "sku", "brand", "price", "currency", "availability", "height_mm", "diameter_mm", F.coalesce(F.size("image_urls"), F.lit(0)).cast("long").alias("images"), "image_source")
 
 
 @query("x2_links", """SELECT product_id, unnest(list_distinct([regexp_extract(canonical_url, '^(https?://[^/]+)', 1) || '/about', regexp_replace(source_url, '#.*$', '')])) AS link FROM catalog_products""")
@@ -216,14 +226,14 @@ def links(spark, d):
 @query("s13_sitemap_locations", "SELECT DISTINCT category_url, product_url AS location FROM inventory_records WHERE category_url IS NOT NULL")
 def sitemap_locations(spark, d):
     loc = F.concat(F.lit("<url><loc> "), F.replace("product_url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    maps = table(spark, d, "inventory_records").filter("category_url is not null").groupBy("supplier", "category_url").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
+    maps = table(spark, d, "inventory_records").filter("category_url is not null").groupBy("supplier", "category_url", F.pmod(F.xxhash64("product_url"), F.lit(1024))).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("xml"))
     return pages.sitemap_locations(maps, "category_url", "xml").distinct()
 
 
 _EDGES = "SELECT DISTINCT supplier AS parent, category_url AS child FROM inventory_records WHERE category_url IS NOT NULL UNION SELECT DISTINCT category_url, canonical_url FROM inventory_records WHERE category_url IS NOT NULL"
 
 
-@query("s14_crawl", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT supplier AS url, 0 AS depth FROM inventory_records UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON r.url = e.parent WHERE r.depth < 24) SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url")
+@query("s14_crawl", f"WITH RECURSIVE e AS ({_EDGES}), r AS (SELECT DISTINCT supplier AS url, 0 AS depth FROM inventory_records UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON r.url = e.parent) SELECT url, CAST(min(depth) AS INT) AS depth FROM r GROUP BY url")
 def crawl(spark, d):
     i = table(spark, d, "inventory_records").filter("category_url is not null")
     edges = i.select(F.col("supplier").alias("parent"), F.col("category_url").alias("child")).union(i.select("category_url", "canonical_url")).distinct()
@@ -247,9 +257,13 @@ def stream_upsert(spark, d):
     """Extension: the updates as a stream, merged batch by batch."""
     where = upserts.fresh(shared_dir(spark))
     rows = table(spark, d, "product_updates")
-    source = spark.readStream.schema(rows.schema).parquet(f"{d}/product_updates.parquet*")
-    state = upserts.StreamState(spark, f"{where}/state", ["product_id"], ["load_seq"], ["availability_status", "price"], [])
-    return upserts.stream_upsert(source, state, f"{where}/checkpoint").select("product_id", "load_seq", "availability_status", "price")
+    # two runs of the stream over a growing folder, each with a state object of its own
+    for part in range(2):
+        rows.filter(F.pmod(F.xxhash64("load_seq"), F.lit(2)) == part).write.mode("append").parquet(f"{where}/source")
+        source = spark.readStream.schema(rows.schema).parquet(f"{where}/source")
+        state = upserts.StreamState(spark, f"{where}/state", ["product_id"], ["load_seq"], ["availability_status", "price"], [])
+        held = upserts.stream_upsert(source, state, f"{where}/checkpoint")
+    return held.select("product_id", "load_seq", "availability_status", "price")
 
 
 QUERIES, ORACLE = query.queries, query.oracle
