@@ -12,26 +12,53 @@ from shelfspark.operators.upsert import upsert
 
 
 class StreamState:
-    """A keyed table kept in versions of parquet files in a shared folder. Every micro-batch is
-    merged with the version before and written as the next; the batch's number names it, so a
-    batch that runs again writes the same version again."""
-
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], overwrite: list[str], keep: list[str]) -> None:
-        self.spark, self.path = spark, path
+    """A keyed table kept in versions of parquet files in a shared folder, spread over ``parts``
+    folders by a hash of the key. A micro-batch merges only the parts its keys fall into; its
+    version lists, for every part, the version that holds it. The batch's number names a version,
+    so a batch that runs again writes the same version again, and a new object (after a restart)
+    goes on from the newest version before its batch."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], order: list[str], overwrite: list[str], keep: list[str], parts: int = 64) -> None:
+        self.spark, self.path, self.parts = spark, path, parts
         self.keys, self.order, self.overwrite, self.keep = keys, order, overwrite, keep
-        self.version = -1
+        self.columns = [*keys, *dict.fromkeys([*order, *overwrite, *keep])]
+
+    def _names(self, folder: str) -> list[str]:
+        """The names of what lies in a folder of the shared file system."""
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _held(self, before: int | None = None) -> dict[int, int]:
+        """The version that holds each part, as the newest finished version (before a number) says."""
+        numbers = sorted((int(n[1:]) for n in self._names(f"{self.path}/held") if n[1:].isdigit()), reverse=True)
+        done = [n for n in numbers if (before is None or n < before) and "_SUCCESS" in self._names(f"{self.path}/held/v{n}")]
+        if not done:
+            return {}
+        return {r["part"]: r["version"] for r in self.spark.read.schema("part int, version long").json(f"{self.path}/held/v{done[0]}").collect()}  # one row a part
 
     def merge(self, batch: DataFrame, number: int) -> None:
-        columns = [*self.keys, *dict.fromkeys([*self.order, *self.overwrite, *self.keep])]
-        rows = batch.select(*columns)
-        if self.version >= 0 and number > 0:
-            rows = rows.unionByName(self.spark.read.parquet(f"{self.path}/v{self.version}").select(*columns))
+        held = self._held(number)
+        part = F.pmod(F.xxhash64(*self.keys), F.lit(self.parts)).cast("int").alias("_part")
+        touched = [r["_part"] for r in batch.select(part).distinct().collect()]  # at most ``parts``
+        rows = batch.select(*self.columns, part)
+        known = [f"{self.path}/v{held[p]}/_part={p}" for p in touched if p in held]
+        if known:
+            rows = rows.unionByName(self.spark.read.parquet(*known).select(*self.columns, part))
         over = [c for c in dict.fromkeys([*self.order, *self.overwrite]) if c not in self.keys]
-        upsert(rows, self.keys, self.order, over, self.keep).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        self.version = number
+        if touched:
+            upsert(rows, [*self.keys, "_part"], self.order, over, self.keep).write.mode("overwrite").partitionBy("_part").parquet(f"{self.path}/v{number}")
+        now = held | dict.fromkeys(touched, number)
+        self.spark.createDataFrame(list(now.items()), "part int, version long").coalesce(1).write.mode("overwrite").json(f"{self.path}/held/v{number}")
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{self.version}")
+        """The state of the newest version."""
+        held = self._held()
+        if not held:
+            raise ValueError("nothing was merged yet")
+        folders = [f"{self.path}/v{v}/_part={p}" for p, v in sorted(held.items())]
+        return self.spark.read.parquet(*folders).select(*self.columns)
 
 
 def stream_upsert(source: DataFrame, state: StreamState, checkpoint: str) -> DataFrame:

@@ -51,3 +51,17 @@ def test_stream_upsert_and_windows(spark, tmp_path):
     q = upserts.tumbling_counts(spark.readStream.schema(schema).parquet(str(src)), "at", "k", "10 minutes", "1 minute").writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == 4
+
+
+def test_stream_state_survives_a_restart(spark, tmp_path):
+    schema, path = "k long, seq long, a string", str(tmp_path / "state")
+    state = lambda: upserts.StreamState(spark, path, ["k"], ["seq"], ["a"], [], parts=4)
+    df = lambda *rows: spark.createDataFrame(rows, schema)
+    state().merge(df((1, 1, "a"), (2, 1, "b")), 0)
+    state().merge(df((3, 2, "c"), (1, 2, "d")), 1)
+    want = [(1, 2, "d"), (2, 1, "b"), (3, 2, "c")]
+    assert sorted(map(tuple, state().read().collect())) == want
+    state().merge(df((3, 2, "c"), (1, 2, "d")), 1)  # the batch runs again
+    assert sorted(map(tuple, state().read().collect())) == want
+    state().merge(df(), 2)
+    assert sorted(map(tuple, state().read().collect())) == want
