@@ -9,7 +9,7 @@ from shelfspark.functions.text import WORD
 from shelfspark.operators.ranking import top_k
 
 K1, B = 1.2, 0.75
-#: Most distinct words asked at once; they are sent to every task.
+#: Most distinct words that are sent to every task; beyond that words are joined.
 MOST_WORDS = 100_000
 
 
@@ -25,12 +25,13 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     """
     asked = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct(words(F.col(query_text)))).alias("w"))
     vocabulary = [r["w"] for r in asked.select("w").distinct().limit(MOST_WORDS + 1).collect()]
-    if len(vocabulary) > MOST_WORDS:
-        raise ValueError("too many distinct words asked at once")
     docs = corpus.select(F.col(key).alias("k"), words(F.col(text)).alias("ws"))
     stats = docs.agg(F.count("*").alias("n"), F.avg(F.size("ws")).alias("mean"))
-    held = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
-    hits = docs.select("k", F.size("ws").alias("len"), F.explode(F.filter("ws", lambda w: F.array_contains(held, w))).alias("w"))
+    if len(vocabulary) <= MOST_WORDS:
+        held = F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")
+        hits = docs.select("k", F.size("ws").alias("len"), F.explode(F.filter("ws", lambda w: F.array_contains(held, w))).alias("w"))
+    else:
+        hits = docs.select("k", F.size("ws").alias("len"), F.explode("ws").alias("w")).join(asked.select("w").distinct(), "w", "left_semi")
     tf = hits.groupBy("k", "len", "w").agg(F.count("*").alias("tf"))
     df = tf.groupBy("w").agg(F.count("*").alias("df"))
     scored = tf.join(df, "w").join(asked, "w").join(stats, how="cross")  # stats is one row

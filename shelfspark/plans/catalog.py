@@ -242,15 +242,23 @@ def hydration_plan(spark, d):
     return relevance.hydration_plan(asked, inventory_upsert(spark, d))
 
 
-@query("w2_plan_unique", f"SELECT canonical_url, max(requirement_id) AS requirement_id FROM ({_PLAN}) GROUP BY canonical_url")
+_WHOLE_PLAN = _PLAN.replace(f" WHERE {_REQ}", "")
+
+
+def _whole_plan(spark, d):
+    return relevance.hydration_plan(table(spark, d, "requirements"), inventory_upsert(spark, d))
+
+
+@query("w2_plan_unique", f"SELECT canonical_url, max(requirement_id) AS requirement_id FROM ({_WHOLE_PLAN}) GROUP BY canonical_url")
 def plan_unique(spark, d):
     """The addresses of the whole plan, each once; the last requirement that chose it holds."""
-    return hydration_plan(spark, d).groupBy("canonical_url").agg(F.max("requirement_id").alias("requirement_id"))
+    return _whole_plan(spark, d).groupBy("canonical_url").agg(F.max("requirement_id").alias("requirement_id"))
 
 
-@query("a7_hydration_counts", f"SELECT requirement_id, supplier, count(*) AS selected FROM ({_PLAN}) GROUP BY ROLLUP (requirement_id, supplier)")
+@query("a7_hydration_counts", f"SELECT requirement_id, supplier, count(*) AS selected FROM ({_WHOLE_PLAN}) GROUP BY ROLLUP (requirement_id, supplier)")
 def hydration_counts(spark, d):
-    return hydration_plan(spark, d).rollup("requirement_id", "supplier").agg(F.count("*").alias("selected"))
+    """Of the whole plan."""
+    return _whole_plan(spark, d).rollup("requirement_id", "supplier").agg(F.count("*").alias("selected"))
 
 
 @query("w3_wide_pool", """SELECT requirement_id, candidate_id, row_number() OVER w AS rank_no FROM scored_candidates WHERE requirement_id IS NOT NULL AND overall_score IS NOT NULL AND NOT isnan(overall_score)
@@ -337,9 +345,10 @@ def token_overlap(spark, d):
     return s.select("candidate_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.arrays_overlap("a", "b").alias("overlaps"))
 
 
-@query("u9_except", "SELECT title FROM inventory_records WHERE title IS NOT NULL EXCEPT SELECT name FROM catalog_products")
+@query("u9_except", "SELECT supplier, canonical_url FROM inventory_records EXCEPT SELECT supplier, canonical_url FROM catalog_products")
 def except_(spark, d):
-    return table(spark, d, "inventory_records").filter("title is not null").select("title").subtract(table(spark, d, "catalog_products").select("name"))
+    """The addresses that were discovered and never fetched."""
+    return table(spark, d, "inventory_records").select("supplier", "canonical_url").subtract(table(spark, d, "catalog_products").select("supplier", "canonical_url"))
 
 
 # Scans -----------------------------------------------------------------------------------------

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from shelfspark.functions import text, urls
-from shelfspark.operators import evaluate, pages, ranking, search, upsert, vectors
+from shelfspark.operators import evaluate, ranking, search, upsert, vectors
 
 
 def test_text_and_url_functions(spark):
@@ -54,15 +54,28 @@ def test_vector_search_and_ties(spark):
     got = [(r.query_id, r.id, r.rank_no) for r in vectors.search(df, df.filter("id = 1"), "id", "v", 2).orderBy("rank_no").collect()]
     assert got == [(1, 1, 1), (1, 2, 2)]
     assert vectors.search(df, df.filter("id > 9"), "id", "v", 2).count() == 0
-    got = vectors.grouped_search(df, df.filter("v is not null"), "g", "v", "g", "id", 1).collect() if False else None  # noqa: F841
     best = vectors.grouped_search(df.withColumn("p", F.col("id") % 2), df.filter("v is not null"), "g", "v", "p", "id", 5).filter("g = 0").orderBy("rank_no").collect()
     assert [(r.p, r.best_image) for r in best] == [(0, 2), (1, 1)]
 
 
-def test_bm25_needs_all_words(spark):
+def test_many_query_vectors_are_asked_in_passes(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(i, i // 3, [rng.random() for _ in range(4)], i % 7) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, p long, v array<double>, g long")
+    run = lambda **how: sorted(map(tuple, vectors.grouped_search(df, df.filter("id < 30"), "g", "v", "p", "id", 4, **how).collect()))
+    text = df.filter("id < 7").select("g", "v")
+    want = [run(), run(mode="mean"), run(text=text)]
+    assert len(want[0]) == 28
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 9)
+    assert [run(), run(mode="mean"), run(text=text)] == want
+
+
+def test_bm25_needs_all_words(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "бра белое стекло"), (2, "бра чёрное"), (3, None)], "id long, t string")
     asked = spark.createDataFrame([("q", "Бра стекло"), ("none", "")], "q string, w string")
     assert [(r.q, r.id, r.rank_no) for r in search.bm25(docs, "id", "t", asked, "q", "w", 5).collect()] == [("q", 1, 1)]
+    monkeypatch.setattr(search, "MOST_WORDS", 1)
+    assert [(r.q, r.id, r.rank_no) for r in search.bm25(docs, "id", "t", asked, "q", "w", 5).collect()] == [("q", 1, 1)]
 
 
 def test_metrics(spark):
@@ -72,20 +85,6 @@ def test_metrics(spark):
     assert evaluate.stage_recall(df.filter("r > 99"), [], {"a": F.lit(True)}).first().a_recall is None
 
 
-def test_pages(spark):
-    html = """<html><head><script type="application/ld+json">{"@graph":[{"@type":"WebPage"},{"@type":["Product"],"name":"A &amp; B\n<b>x</b>","sku":"S1","brand":{"name":"Br"},"offers":[{"price":"1 200","priceCurrency":"RUB","availability":"https://schema.org/InStock"}],"image":["/i.jpg"]}]}</script></head>
-    <body><h1>H<table><tr><td>Артикул<td>S2</td></tr><tr><th>Цвет</th><td> белый </td></tr></table><a href="/p#f">x</a><a href="/p">y</a><a href="https://other.example/z">z</a><a href="mailto:a@b">m</a>"""
-    df = spark.createDataFrame([(1, "https://s.example/a", html), (2, "https://s.example/b", "<h1>Раздел</h1>"), (3, None, None)], "id long, url string, html string")
-    got = {r.id: r for r in pages.parse_pages(df, "id", "html").collect()}
-    assert (got[1].name, got[1].sku, got[1].brand, got[1].price, got[1].availability, got[1].image) == ("A & B x", "S1", "Br", 1200.0, "InStock", "/i.jpg")
-    assert got[1].specs["Цвет"] == "белый" and not got[2].is_product and not got[3].is_product
-    assert [r.link for r in pages.link_urls(df, "id", "url", "html").collect()] == ["https://s.example/p"]
-    maps = spark.createDataFrame([(1, "<urlset xmlns:s='n'><s:loc> https://a/?x=1&amp;y </s:loc><loc>https://b</loc></broken>")], "id long, xml string")
-    assert [r.location for r in pages.sitemap_locations(maps, "id", "xml").collect()] == ["https://a/?x=1&y", "https://b"]
-    edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "r"), ("x", "y")], "parent string, child string")
-    assert sorted(map(tuple, pages.crawl(edges, spark.createDataFrame([("r",)], "url string")).collect())) == [("a", 1), ("b", 2), ("r", 0)]
-
-
 def test_cache_gives_sound_vectors_of_the_same_model_and_version(spark):
     from shelfspark.operators.vectors import cached
 
