@@ -2,20 +2,22 @@
 
 1. Every listing becomes a title in one form plus what can be read off it: code, size, wattage,
    colour, series words, whether it is a spare part. What one listing of a code lacks is completed
-   from the others of that code.
+   from the others of that code, its series also from those of its model.
 2. A subword encoder, trained contrastively on listings that share a maker's code, turns titles
-   into unit vectors.
-3. Listings of one code, and listings with all the same values, are joined exactly.
-4. For the other pairs an inverted-file index over all vectors gives each listing the lists near
-   it; how many are probed is tuned against exact neighbours on a sample.
-5. A pair is vetoed where codes, sizes, wattages, colours or series contradict each other; all
-   others of the probed lists link listings, however many. Connected listings are one product.
-6. A listing that states neither code nor one of size, wattage and colour joins the product its
-   other values agree with, if that is one only.
-
-Exact copies of a title are looked up once, the same values compared once a list. Lists are cut to
-parts of a bounded length, of the links of a part a spanning forest is kept, and components are
-found by rounds of label passing over written tables.
+   into unit vectors. The same labelled pairs give the least similarity of listings of one product.
+3. An inverted-file index over all vectors gives each listing the lists near it; how many are probed
+   is tuned against exact neighbours on a sample.
+4. Two listings are mutual neighbours if each lies in a list that the other probes and they are at
+   least as similar as labelled pairs are. Mutual neighbours are linked, however many, unless a veto
+   forbids it: codes, sizes, wattages, colours or series that contradict each other. Connected
+   listings are one product. Listings of one code, and those with all the same values, are joined
+   exactly besides.
+5. A listing that lacks a code and one of size, wattage, colour and series joins the product of its
+   mutual neighbours that nothing speaks against, if that is one only.
+
+Exact copies of a title are looked up once, the same values compared once a list. Cells are cut to
+parts of a bounded length on both sides, of the links of a part a spanning forest is kept, and
+components are found by rounds of label passing over written tables.
 """
 
 from __future__ import annotations
@@ -46,7 +48,9 @@ LISTS_A_CELL, CELL_ROWS = 16, 20_000
 PAIRS = 2_000_000
 #: Shares of what the probed lists must hold: of all pairs that only the index can link, and of the
 #: ten nearest whatever they are.
-LINKED, NEAREST = 0.999, 0.92
+LINKED, NEAREST = 0.9995, 0.92
+#: Share of the labelled pairs that are less similar than the least similarity; pairs it takes.
+LEAST, LEAST_PAIRS = 0.0001, 50
 SIZE_TOLERANCE_MM = 4
 
 _CODE = regex.compile(r"(?<![\p{L}\d])(\p{Lu}{2,4})[ ]?(\d{6,8})[-/ .]?(\d\d)(\p{Lu}{2})?(-?SP)?(?![\p{L}\d])")
@@ -200,14 +204,18 @@ def listing_features(products: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def complete(listings: DataFrame) -> DataFrame:
-    """Fills what a listing lacks from the other listings of its code (the most frequent value)."""
-    clean = [c for c in ("size", "height", "watt")]
+    """Fills what a listing lacks from the other listings of its code (the most frequent value), and
+    the series also from those of its model, the code without the variant. Listings without a code
+    take no part in the joins, so they don't gather under one key."""
+    clean = ["size", "height", "watt"]
     base = listings.select("*", *[F.when(~F.isnan(c), F.col(c)).alias(f"_{c}") for c in clean]).drop(*clean).withColumnsRenamed({f"_{c}": c for c in clean})
-    known = base.filter("code is not null").groupBy("code").agg(*[F.mode(c, True).alias(f"_{c}") for c in ("size", "height", "watt", "colour")], F.mode(F.try_element_at("series", F.lit(1)), True).alias("_series"))
-    both = base.join(known, "code", "left")
+    coded = base.filter("code is not null").withColumn("_model", F.substring_index("code", "-", 1))
+    known = coded.groupBy("code").agg(*[F.mode(c, True).alias(f"_{c}") for c in ("size", "height", "watt", "colour")], F.mode(F.try_element_at("series", F.lit(1)), True).alias("_series"))
+    models = coded.filter(F.size("series") > 0).groupBy("_model").agg(F.mode(F.try_element_at("series", F.lit(1)), True).alias("_of_model"))
+    both = coded.join(known, "code", "left").join(models, "_model", "left").withColumn("_series", F.coalesce("_series", "_of_model"))
     filled = {c: F.coalesce(c, f"_{c}") for c in ("size", "height", "watt", "colour")}
     series = F.when(F.col("_series").isNull(), F.col("series")).otherwise(F.array_distinct(F.concat("series", F.array("_series"))))
-    return both.withColumns(filled | {"series": series}).drop("_size", "_height", "_watt", "_colour", "_series")
+    return both.withColumns(filled | {"series": series}).select(*base.columns).unionByName(base.filter("code is null"))
 
 
 def grams(title: str, code: str | None, size: float | None, watt: float | None, colour: str | None, series: list[str], spare: bool) -> np.ndarray:
@@ -303,10 +311,19 @@ def kmeans(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     return centres
 
 
-def tune_probes(vectors: np.ndarray, centres: np.ndarray, agreeing, queries: int = 1000, k: int = 10) -> tuple[int, float, float]:
-    """The fewest lists to probe that hold ``LINKED`` of all rows ``agreeing`` (of row numbers of
-    queries: pairs of query and row) gives, however far they are, and ``NEAREST`` of the k
-    nearest; both shares as measured."""
+def _place(vectors: np.ndarray, centres: np.ndarray, lists: np.ndarray) -> np.ndarray:
+    """Of every row: how many lists are nearer to it than its list in ``lists``."""
+    out = np.zeros(len(vectors), int)
+    for lo in range(0, len(vectors), 2048):
+        sims = vectors[lo : lo + 2048] @ centres.T
+        out[lo : lo + 2048] = (sims > np.take_along_axis(sims, lists[lo : lo + 2048, None], 1)).sum(1)
+    return out
+
+
+def tune_probes(vectors: np.ndarray, centres: np.ndarray, agreeing, queries: int = 4000, k: int = 10) -> tuple[int, float, float]:
+    """The fewest lists to probe that hold ``LINKED`` of all pairs ``agreeing`` (of row numbers of
+    queries: pairs of query and row) gives, each in the lists of the other, however far they are,
+    and ``NEAREST`` of the k nearest; both shares as measured."""
     n = len(vectors)
     of = (vectors @ centres.T).argmax(1)
     linked, nearest = [np.zeros(0, int)], [np.zeros(0, int)]
@@ -318,8 +335,8 @@ def tune_probes(vectors: np.ndarray, centres: np.ndarray, agreeing, queries: int
         best = np.argpartition(-sims, top - 1, axis=1)[:, :top]
         i, j = agreeing(np.arange(lo, lo + len(q)))
         i, j = i[i != j], j[i != j]
+        linked.append(np.maximum(_place(vectors[i], centres, of[j]), _place(vectors[j], centres, of[i])))
         near = np.argsort(np.argsort(-(q @ centres.T), axis=1), axis=1)
-        linked.append(near[i - lo, of[j]])
         nearest.append(np.take_along_axis(near, of[best], 1).ravel())
     a, b = np.concatenate(linked), np.concatenate(nearest)
     share = lambda r, p: float((r < p).mean()) if len(r) else 1.0
@@ -329,6 +346,15 @@ def tune_probes(vectors: np.ndarray, centres: np.ndarray, agreeing, queries: int
     return probes, share(a, probes), share(b, probes)
 
 
+def least_similarity(vectors: np.ndarray, codes: list[str | None]) -> float:
+    """The ``LEAST`` quantile of the similarities of labelled pairs (a code's first row and its
+    others); -1, which forbids nothing, if there are fewer than ``LEAST_PAIRS``."""
+    first: dict[str, int] = {}
+    pairs = [(first.setdefault(c, i), i) for i, c in enumerate(codes) if isinstance(c, str)]
+    a, b = (np.array([p[n] for p in pairs if p[0] != p[1]], int) for n in (0, 1))
+    return float(np.quantile((vectors[a] * vectors[b]).sum(1), LEAST)) if len(a) >= LEAST_PAIRS else -1.0
+
+
 class Index(NamedTuple):
     weights: np.ndarray
     centres: np.ndarray
@@ -336,6 +362,7 @@ class Index(NamedTuple):
     probes: int
     linked: float
     nearest: float
+    least: float
 
 
 def _bags(pdf: pd.DataFrame, coded: bool = True) -> list[np.ndarray]:
@@ -349,24 +376,26 @@ def fit(listings: DataFrame, rows: int, sample: int = SAMPLE_ROWS) -> Index:
     number of listings to be indexed."""
     got = listings.orderBy(F.xxhash64(F.coalesce("code", F.array_join("series", " "))), "product_id").limit(sample).toPandas()
     if got.empty:
-        return Index(np.zeros((BUCKETS, DIM), np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), 1, 1.0, 1.0)
+        return Index(np.zeros((BUCKETS, DIM), np.float32), np.zeros((1, DIM), np.float32), np.zeros(1, int), 1, 1.0, 1.0, -1.0)
     # the code is left out of the views that are trained on, so the words and values are learnt
     labelled = got[got["code"].notna()]
     weights = train(_bags(labelled, coded=False), labelled["code"].tolist())
     vectors = _sums(_bags(got), weights)
     centres = kmeans(vectors, max(1, round(rows**0.5)))
-    got = got.assign(code_h=[None if c is None else zlib.crc32(c.encode()) + 1 for c in got["code"]], series=[[zlib.crc32(x.encode()) + 1 for x in s] for s in got["series"]])
-    keys = _columns(got)
+    keyed = got.assign(code_h=[None if c is None else zlib.crc32(c.encode()) + 1 for c in got["code"]], series=[[zlib.crc32(x.encode()) + 1 for x in s] for s in got["series"]])
+    keys = _columns(keyed)
     mixed = np.random.default_rng(7).permutation(len(vectors))
     keys = {c: v[mixed] for c, v in keys.items()}
     tuned = tune_probes(vectors[mixed], centres, lambda i: _agreeing(keys, i, keys, np.arange(len(mixed))))
     cells = kmeans(centres, max(1, round(len(centres) / LISTS_A_CELL)))
-    return Index(weights, centres, (centres @ cells.T).argmax(1), *tuned)
+    return Index(weights, centres, (centres @ cells.T).argmax(1), *tuned, least_similarity(vectors, got["code"].tolist()))
 
 
 def encode(listings: DataFrame, index: Index) -> DataFrame:
-    """Vectors of distinct listings (half precision), the list and cell they are kept in, and the
-    lists they ask, by cell: rid is the smallest id of listings that are copies of one another."""
+    """Vectors of distinct listings (half precision, and in bytes), the list and cell they are kept
+    in, the lists they probe (``asked``), and those of them where their pairs are compared, by cell
+    (``asks``): of two mutual neighbours the one of the lesser list goes to the other's. rid is the
+    smallest id of listings that are copies of one another."""
     distinct = listings.groupBy("title", "code", "spare", "size", "height", "watt", "colour", "series").agg(F.min("product_id").alias("rid"))
     spread = distinct.sparkSession.sparkContext.broadcast(index)
 
@@ -375,15 +404,17 @@ def encode(listings: DataFrame, index: Index) -> DataFrame:
         for pdf in frames:
             v = _sums(_bags(pdf), ix.weights)
             near = v @ ix.centres.T
-            lists = np.argpartition(-near, ix.probes - 1, axis=1)[:, : ix.probes]
+            lists = np.sort(np.argpartition(-near, ix.probes - 1, axis=1)[:, : ix.probes], axis=1).astype(np.int32)
             home = near.argmax(1)
             asks = []
-            for row in lists:
-                of = ix.cell[row]
-                asks.append([{"cell": int(c), "lists": row[of == c].astype(np.int32)} for c in np.unique(of)])
-            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), "asks": asks})
-
-    vectors = distinct.select("rid", "title", "code", "size", "watt", "colour", "series", "spare").mapInPandas(run, "rid bigint, vec binary, list int, cell int, asks array<struct<cell:int,lists:array<int>>>")
+            for row, own in zip(lists, home):
+                later = row[row >= own]
+                of = ix.cell[later]
+                asks.append([{"cell": int(c), "lists": later[of == c]} for c in np.unique(of)])
+            small = np.round(v * 127).astype(np.int8)
+            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "bytes": [x.tobytes() for x in small], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), "asked": list(lists), "asks": asks})
+
+    vectors = distinct.select("rid", "title", "code", "size", "watt", "colour", "series", "spare").mapInPandas(run, "rid bigint, vec binary, bytes binary, list int, cell int, asked array<int>, asks array<struct<cell:int,lists:array<int>>>")
     keys = distinct.select("rid", F.when(F.col("code").isNotNull(), F.xxhash64("code")).alias("code_h"), "spare", "size", "height", "watt", "colour", F.transform("series", lambda s: F.xxhash64(s)).alias("series"))
     return vectors.join(keys, "rid")
 
@@ -428,11 +459,11 @@ def _columns(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
         words[r] = () if s is None else tuple(s)
         series[r, : min(6, len(words[r]))] = words[r][:6]
     colour = np.array([0 if c is None else zlib.crc32(c.encode()) + 1 for c in pdf["colour"]], np.int64)
-    code = pdf["code_h"].fillna(0).astype("int64").to_numpy()
+    code = np.array([0 if c is None or c != c else int(c) for c in pdf["code_h"]], np.int64)
     size, watt = pdf["size"].to_numpy(float), pdf["watt"].to_numpy(float)
-    lacks = np.isnan(size).astype(int) + np.isnan(watt) + (colour == 0)
+    lacks = np.isnan(size).astype(int) + np.isnan(watt) + (colour == 0) + np.array([len(w) == 0 for w in words], int)
     wide = np.array([len(w) > 6 for w in words], bool)
-    return {"code_h": code, "spare": pdf["spare"].to_numpy(bool), "size": size, "height": pdf["height"].to_numpy(float), "watt": watt, "colour": colour, "series": series, "words": words, "wide": wide, "lacks": lacks}
+    return {"code_h": code, "spare": pdf["spare"].to_numpy(bool), "size": size, "height": pdf["height"].to_numpy(float), "watt": watt, "colour": colour, "series": series, "words": words, "wide": wide, "lacks": lacks, "named": np.array([len(w) for w in words], int)}
 
 
 def _agreeing(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarray], others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -453,15 +484,15 @@ def _agreeing(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarra
 
 
 def _may_agree(a: dict[str, np.ndarray], rows: np.ndarray, b: dict[str, np.ndarray], others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a listing without a code that lacks one of size, wattage and colour, and one
-    with a code or all of them, that nothing speaks against."""
+    """All pairs of a listing without a code that lacks one of size, wattage, colour and series, and
+    one with a code or all of them, that nothing speaks against."""
     mine, theirs = rows[(a["code_h"][rows] == 0) & (a["lacks"][rows] == 1)], others[(b["code_h"][others] != 0) | (b["lacks"][others] == 0)]
     out = [(np.zeros(0, int), np.zeros(0, int))]
     step = max(1, PAIRS // max(1, len(theirs)))
     for lo in range(0, len(mine), step):
         i, j = np.nonzero(_close(a, mine[lo : lo + step][:, None], b, theirs[None, :], True))
         i, j = mine[lo : lo + step][i], theirs[j]
-        good = _share(a, i, b, j)
+        good = _share(a, i, b, j) | (a["named"][i] == 0) | (b["named"][j] == 0)
         out.append((i[good], j[good]))
     return tuple(np.concatenate([x[n] for x in out]) for n in (0, 1))
 
@@ -501,30 +532,55 @@ def same_values(encoded: DataFrame) -> DataFrame:
     return pairs[0].unionByName(pairs[1])
 
 
-def links(encoded: DataFrame) -> DataFrame:
+def links(encoded: DataFrame, least: float = -1.0) -> DataFrame:
     """(a, b), a < b, of ``all_links`` that are sure."""
-    return all_links(encoded).filter("sure").select("a", "b")
-
-
-def all_links(encoded: DataFrame) -> DataFrame:
-    """(a, b, sure). Sure ones, a < b, connect every listing with all those of the lists it asks that nothing
-    speaks against. A listing is sent once to every cell that holds lists it asks; a task gives a
-    spanning forest of the links it finds, so none is left out and no more rows come out than its
-    listings. Others: a lacks a value, and may be the product of b."""
+    return all_links(encoded, least).filter("sure").select("a", "b")
+
+
+def _mutual(mine: pd.DataFrame, theirs: pd.DataFrame, least: float):
+    """A test of pairs (row of ``theirs``, row of ``mine``): does mine probe the list of theirs, and
+    are they similar enough. That theirs probes the list of mine is what brought them here."""
+    lists = theirs["list"].to_numpy().astype(np.int64)
+    sizes = mine["asked"].map(len).to_numpy()
+    asked = np.concatenate(mine["asked"].to_list()).astype(np.int64)
+    width = int(max(asked.max(initial=0), lists.max(initial=0))) + 1
+    probed = np.sort(np.repeat(np.arange(len(mine)), sizes) * width + asked)
+    vectors = [np.frombuffer(b"".join(x["bytes"]), np.int8).reshape(len(x), -1) for x in (theirs, mine)]
+
+    def test(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        key = j * width + lists[i]
+        at = np.minimum(np.searchsorted(probed, key), len(probed) - 1)
+        ok = probed[at] == key
+        for lo in range(0, len(i), 200_000):
+            a, b = (v[n[lo : lo + 200_000]].astype(np.float32) for v, n in zip(vectors, (i, j)))
+            ok[lo : lo + 200_000] &= (a * b).sum(1) >= (least - 0.01) * 127 * 127  # a hundredth for the bytes
+        return ok
+
+    return test
+
+
+def all_links(encoded: DataFrame, least: float = -1.0) -> DataFrame:
+    """(a, b, sure). Sure ones, a < b, connect every listing with all its mutual neighbours that
+    nothing speaks against; the others: a lacks a value, and may be the product of b. A listing is
+    sent once to every cell that holds lists it asks; a task gives a spanning forest of the links it
+    finds, so none is left out and no more rows come out than its listings. A cell's members and its
+    askers are cut to parts of ``CELL_ROWS``, and every part meets every other."""
     node = F.when(F.col("code_h").isNull(), F.xxhash64("spare", "size", "height", "watt", "colour", F.array_sort("series"))).otherwise(F.xxhash64("code_h", "spare", "size", "height", "watt", "colour", F.array_sort("series")))
     encoded = encoded.drop("vec").withColumn("node", node)
-    members = encoded.drop("asks")
-    parts = members.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
-    members = members.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")).drop("parts")
-    asking = encoded.drop("list", "cell").select("*", F.explode("asks").alias("ask")).select("*", "ask.cell", "ask.lists").drop("asks", "ask").join(parts, "cell")
-    asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).drop("parts")
+    members, asking = encoded.drop("asks"), encoded.drop("cell", "asked").withColumn("ask", F.explode("asks")).select("*", "ask.cell", "ask.lists").drop("asks", "ask")
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(name))
+    grid = parts(members, "parts").join(parts(asking.select("cell"), "bands"), "cell")
+    # one row of sizes a cell, so the join doesn't move a cell's rows to one task: see AQE's size check
+    cut = lambda df, own, name, other, many: df.join(grid, "cell").withColumn(name, F.pmod(F.xxhash64("rid"), F.col(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(many) - 1))).drop("parts", "bands")
+    members, asking = cut(members, "parts", "part", "band", "bands"), cut(asking, "bands", "band", "part", "parts")
     asking = asking.select(*[F.col(c).alias(c) for c in asking.columns])  # columns of its own
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         if mine.empty or theirs.empty:
             return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64"), "sure": pd.Series(dtype="bool")})
         mk, mnode, qk, qnode = _columns(mine), mine["node"].to_numpy(), _columns(theirs), theirs["node"].to_numpy()
-        kept_in = mine["list"].to_numpy()
+        mutual = _mutual(mine, theirs, least)
+        kept_in, from_ = mine["list"].to_numpy(), theirs["list"].to_numpy()
         sizes = theirs["lists"].map(len).to_numpy()
         asker, asked = np.repeat(np.arange(len(theirs)), sizes), np.concatenate(theirs["lists"].to_list())
         # listings with the same values agree with the same others, so one of them is compared;
@@ -537,12 +593,18 @@ def all_links(encoded: DataFrame) -> DataFrame:
             there, who = np.flatnonzero(kept_in == one), asker[asked == one]
             if not len(who):
                 continue
-            _, m1, m_of = np.unique(mnode[there], return_index=True, return_inverse=True)
-            _, q1, q_of = np.unique(qnode[who], return_index=True, return_inverse=True)
+            # within a list the representatives of members and askers are the same; across lists not
+            mvalue, m1, m_of = np.unique(mnode[there], return_index=True, return_inverse=True)
+            _, q1, q_of = np.unique(np.column_stack((qnode[who], from_[who])), axis=0, return_index=True, return_inverse=True)
+            q_of = q_of.ravel()
             i, j = _may_agree(qk, who, mk, there[m1])
-            if len(i):
-                may.append(np.unique(np.column_stack((qplace[i], mplace[j])), axis=0))
+            back_j, back_i = _may_agree(mk, there, qk, who[q1])
+            for x, y, pairs in ((i, j, lambda g: (qplace[i[g]], mplace[j[g]])), (back_i, back_j, lambda g: (mplace[back_j[g]], qplace[back_i[g]]))):
+                if len(x) and (good := mutual(x, y)).any():
+                    may.append(np.unique(np.column_stack(pairs(good)), axis=0))
             i, j = _agreeing(qk, who[q1], mk, there[m1])
+            good = mutual(i, j)
+            i, j = i[good], j[good]
             # the first of the same values stands for all that found or were found
             first_m, first_q = np.full(len(mine), -1), np.full(len(theirs), -1)
             first_m[there], first_q[who] = there[m1][m_of], who[q1][q_of]
@@ -554,20 +616,20 @@ def all_links(encoded: DataFrame) -> DataFrame:
         low, high = _forest(ids, a, b)
         weak = np.concatenate(may)
         if len(weak):  # one of the listings that this task connects will do
-            least = np.arange(len(ids))
-            least[np.searchsorted(ids, high)] = np.searchsorted(ids, low)
-            weak = np.unique(np.column_stack((weak[:, 0], least[weak[:, 1]])), axis=0)
+            lowest = np.arange(len(ids))
+            lowest[np.searchsorted(ids, high)] = np.searchsorted(ids, low)
+            weak = np.unique(np.column_stack((weak[:, 0], lowest[weak[:, 1]])), axis=0)
         return pd.DataFrame({"a": np.concatenate((low, ids[weak[:, 0]])), "b": np.concatenate((high, ids[weak[:, 1]])), "sure": np.arange(len(low) + len(weak)) < len(low)})
 
     n = blocks(encoded.sparkSession)
-    members, asking = members.repartition(n, "cell", "part"), asking.repartition(n, "cell", "part")
-    return members.groupBy("cell", "part").cogroup(asking.groupBy("cell", "part")).applyInPandas(compare, "a bigint, b bigint, sure boolean")
+    members, asking = members.repartition(n, "cell", "part", "band"), asking.repartition(n, "cell", "part", "band")
+    return members.groupBy("cell", "part", "band").cogroup(asking.groupBy("cell", "part", "band")).applyInPandas(compare, "a bigint, b bigint, sure boolean")
 
 
 def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
     """(queries, neighbours, found, recall): of the exact k nearest of every listing whose id is
     divisible by 100, by brute force over all listings, those in the lists it asks."""
-    flat = encoded.select("rid", "list", F.flatten(F.transform("asks", lambda a: a["lists"])).alias("asked"), "vec")
+    flat = encoded.select("rid", "list", "asked", "vec")
 
     def floats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -579,7 +641,7 @@ def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
     return at.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count_if(F.array_contains("asked", F.col("list"))).alias("found")).withColumn("recall", F.round(F.try_divide("found", "neighbours"), 4))
 
 
-def components(pairs: DataFrame, most: int = 50) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """(id, root) of every id in a pair; root is the smallest id of the component.
 
     Rounds of passing the smallest label along the links, then to the label's own label; each
@@ -587,7 +649,7 @@ def components(pairs: DataFrame, most: int = 50) -> DataFrame:
     """
     edges = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut_lineage(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).select(F.col("a").alias("id"), "root"))
-    for _ in range(most):
+    while True:
         seen = edges.join(labels, edges["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("m"))
         step = labels.join(seen, labels["id"] == seen["a"]).select("id", F.least("root", "m").alias("new"), F.col("root").alias("old"))
         jump = step.select(F.col("id").alias("to"), F.col("new").alias("far"))
@@ -596,7 +658,6 @@ def components(pairs: DataFrame, most: int = 50) -> DataFrame:
         labels = step.select("id", "root")
         if step.filter("root <> old").isEmpty():
             return labels
-    raise RuntimeError("components didn't settle")
 
 
 def join_lacking(may: DataFrame, roots: DataFrame) -> DataFrame:
@@ -618,8 +679,9 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     rows are copies and share a group; an empty table gives none; other columns are ignored.
     """
     listings = cut_lineage(complete(cut_lineage(listing_features(products, suppliers))))  # read twice each
-    encoded = cut_lineage(encode(listings, fit(listings, listings.count())))
-    found = cut_lineage(all_links(encoded))
+    index = fit(listings, listings.count())
+    encoded = cut_lineage(encode(listings, index))
+    found = cut_lineage(all_links(encoded, index.least))
     roots = components(same_values(encoded).unionByName(found.filter("sure").select("a", "b")).distinct())
     roots = join_lacking(found.filter("not sure").select("a", "b").distinct(), roots)
     same = ["title", "code", "spare", "size", "height", "watt", "colour", "series"]
@@ -632,7 +694,10 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 
 def pairs_of(grouped: DataFrame) -> DataFrame:
-    """(product_id_a, product_id_b), smaller first, of all rows that share a group."""
-    a = grouped.select("group_id", F.col("product_id").alias("product_id_a"))
-    b = grouped.select("group_id", F.col("product_id").alias("product_id_b"))
-    return a.join(b, "group_id").filter("product_id_a < product_id_b").select("product_id_a", "product_id_b").distinct()
+    """(product_id_a, product_id_b), smaller first, of all rows that share a group. The result is as
+    long as a group's square; ``groups`` is the short form. The self-join is by group, and AQE cuts
+    a group that is too long for a task."""
+    once = grouped.select("group_id", "product_id").distinct()
+    a = once.select("group_id", F.col("product_id").alias("product_id_a"))
+    b = once.select("group_id", F.col("product_id").alias("product_id_b"))
+    return a.join(b, "group_id").filter("product_id_a < product_id_b").select("product_id_a", "product_id_b")

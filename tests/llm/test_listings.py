@@ -79,22 +79,73 @@ def test_training_brings_pairs_together():
     assert hits[1] >= hits[0] and hits[1] > 0.9
 
 
-def test_recall_of_the_index(spark):
+def test_recall_of_the_index_at_two_sizes(spark):
     from shelfspark.llm.queries import p4_recall
 
-    r = p4_recall(spark, "/root/testdata/sf0.01").first()
-    assert r.queries == 12 and r.recall >= 0.9
+    for sf, queries in (("sf0.01", 12), ("sf0.1", 120)):
+        r = p4_recall(spark, f"/root/testdata/{sf}").first()
+        assert r.queries == queries and r.recall >= 0.9
 
 
-ENCODED = "rid long, vec binary, list int, cell int, asks array<struct<cell:int,lists:array<int>>>, code_h long, spare boolean, size double, height double, watt double, colour string, series array<long>"
+ENCODED = "rid long, vec binary, bytes binary, list int, cell int, asked array<int>, asks array<struct<cell:int,lists:array<int>>>, code_h long, spare boolean, size double, height double, watt double, colour string, series array<long>"
 
 
-def encoded(spark, items):
-    """All in one list; items: id, similarity to the first axis, code, watt."""
-    row = lambda rid, sim, code, watt: (rid, np.array([sim, (1 - sim**2) ** 0.5], np.float16).tobytes(), 0, 0, [(0, [0])], code, False, 100.0, None, watt, "white", [5])
+def encoded(spark, items, lists=None, probes=None, series=None):
+    """items: id, similarity to the first axis, code, watt. All in one list, unless ``lists`` (of an
+    id) and ``probes`` (the lists an id probes) say else; every list is a cell."""
+
+    def row(rid, sim, code, watt):
+        v = np.array([sim, (1 - sim**2) ** 0.5])
+        own, probed = (lists or {}).get(rid, 0), (probes or {}).get(rid, [0])
+        asks = [(x, [x]) for x in probed if x >= own]
+        return rid, v.astype(np.float16).tobytes(), np.round(v * 127).astype(np.int8).tobytes(), own, own, probed, asks, code, False, 100.0, None, watt, "white", (series or {}).get(rid, [5])
+
     return spark.createDataFrame([row(*x) for x in items], ENCODED)
 
 
+def linked(found):
+    return sorted((r.a, r.b) for r in found.collect())
+
+
+def test_similarity_and_mutual_probes_decide(spark):
+    items = [(1, 1.0, None, 7.0), (2, 0.9, 2, 7.0), (3, 0.2, 3, 7.0)]
+    assert linked(listings.links(encoded(spark, items))) == [(1, 2), (1, 3)]
+    assert linked(listings.links(encoded(spark, items), 0.8)) == [(1, 2)]
+    assert linked(listings.links(encoded(spark, items), 1.5)) == []
+    lists = {1: 0, 2: 1, 3: 2}
+    both = {1: [0, 1, 2], 2: [0, 1], 3: [0, 2]}
+    assert linked(listings.links(encoded(spark, items, lists, both))) == [(1, 2), (1, 3)]
+    assert linked(listings.links(encoded(spark, items, lists, both | {2: [1]}))) == [(1, 3)]
+    assert linked(listings.links(encoded(spark, items, lists, both | {1: [0, 2]}))) == [(1, 3)]
+
+
+def test_links_are_found_beyond_equal_codes_and_equal_values(spark):
+    # words of the series that only overlap, and a listing that lacks the series
+    rows = encoded(spark, [(1, 1.0, 1, 7.0), (2, 1.0, None, 7.0), (3, 0.97, None, 7.0)], series={1: [5], 2: [5, 6], 3: []})
+    assert listings.same_values(rows).count() == 0 and linked(listings.links(rows, 0.9)) == [(1, 2)]
+    found = listings.all_links(rows, 0.9)
+    roots = listings.components(found.filter("sure").select("a", "b"))
+    assert {r.id: r.root for r in listings.join_lacking(found.filter("not sure").select("a", "b"), roots).collect()} == {1: 1, 2: 1, 3: 1}
+    assert listings.all_links(rows, 0.98).filter("not sure").count() == 0
+
+
+def test_least_similarity_is_learnt_from_labelled_pairs():
+    v = np.array([[1, 0]] * 60 + [[0.6, 0.8]], np.float32)
+    assert listings.least_similarity(v, ["c"] * 61) < 0.7 and listings.least_similarity(v[:60], ["c"] * 60) == 1.0
+    assert listings.least_similarity(v[:9], ["c"] * 9) == -1.0 and listings.least_similarity(v, [None] * 61) == -1.0
+
+
+def test_cells_in_parts_give_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    items = [(i, 1 - i / 1000, None if i % 3 else i // 9, float(i % 4)) for i in range(1, 90)]
+    lists = {i: int(rng.integers(0, 3)) for i in range(1, 90)}
+    rows = encoded(spark, items, lists, {i: [0, 1, 2] for i in lists})
+    roots = lambda: {r.id: r.root for r in listings.components(listings.same_values(rows).unionByName(listings.links(rows))).collect()}
+    want = roots()
+    monkeypatch.setattr(listings, "CELL_ROWS", 7)
+    assert roots() == want
+
+
 def test_partner_behind_many_vetoed_variants_is_linked(spark):
     got = listings.links(encoded(spark, [(1, 1.0, None, 7.0), *[(i, 1.0, i, 9.0) for i in range(2, 80)], (90, 0.5, 90, 7.0)])).collect()
     assert {(r.a, r.b) for r in got if 1 in (r.a, r.b)} in ({(1, 90)}, {(1, 90), (90, 1)})
