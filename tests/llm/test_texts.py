@@ -22,7 +22,7 @@ def test_proper_text_is_left_alone(restorer, text):
     assert restorer.text(text) == (text, 0)
 
 
-@pytest.mark.parametrize("wrong", ["cp1251", "latin-1", "cp1252", "cp437"])
+@pytest.mark.parametrize("wrong", ["cp1251", "latin_1", "cp1252", "cp437"])
 def test_misread_utf8_comes_back(restorer, wrong):
     for text in CLEAN[:5]:
         bad = "".join(mojibake._misread(c, wrong) if ord(c) > 127 else c for c in text)
@@ -30,7 +30,7 @@ def test_misread_utf8_comes_back(restorer, wrong):
         assert fixed == text and n > 0, bad
 
 
-@pytest.mark.parametrize(("wrong", "right"), [("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1251", "cp866"), ("latin-1", "cp1251"), ("mac-cyrillic", "cp1251")])
+@pytest.mark.parametrize(("wrong", "right"), [("cp1251", "koi8_r"), ("koi8_r", "cp1251"), ("cp1251", "cp866"), ("latin_1", "cp1251"), ("mac_cyrillic", "cp1251"), ("cp852", "cp1251"), ("mac_iceland", "iso8859_5"), ("cp1257", "cp855")])
 def test_misread_bytes_come_back(restorer, wrong, right):
     bad = "".join(mojibake._DECODE[wrong][b] for b in CLEAN[0].encode(right))
     fixed, n = restorer.text(bad)
@@ -45,13 +45,67 @@ def test_only_the_passage_is_touched(restorer):
     assert restorer.text("Prote��o")[1] == 1 and restorer.text(None) == (None, 0) and restorer.text("") == ("", 0)
 
 
-@pytest.mark.parametrize("wrong", ["cp1251", "koi8-r", "cp866"])
+@pytest.mark.parametrize("wrong", ["cp1251", "koi8_r", "cp866"])
 def test_words_with_one_or_two_foreign_letters_come_back(restorer, wrong):
     bad = "".join(mojibake._DECODE[wrong][b] for b in CLEAN[2].encode("cp1252"))
     fixed, n = restorer.text(bad)
     assert fixed == CLEAN[2] and n == 3
 
 
+@pytest.mark.parametrize("wrong", mojibake.UTF8_AS)
+def test_utf8_misread_in_any_encoding_comes_back(restorer, wrong):
+    words = right = 0
+    for text in CLEAN[:5]:
+        bad = "".join(mojibake._misread(c, wrong) if ord(c) > 127 else c for c in text)
+        fixed, n = restorer.text(bad)
+        assert n > 0, bad
+        for a, b, c in zip(text.split(" "), bad.split(" "), fixed.split(" ")):
+            words, right = words + (a != b), right + (a != b and a == c)
+    assert right >= 0.9 * words, (right, words)
+
+
+def corpus_texts(sf="sf0.01"):
+    import pandas as pd
+
+    d = pd.read_parquet(f"/root/testdata/{sf}/documents.parquet", columns=["text", "lang"])
+    return d[d["text"].notna()]
+
+
+@pytest.fixture(scope="module")
+def trained():
+    counts = np.zeros(mojibake.K**3, np.int64)
+    for t in corpus_texts()["text"]:
+        for w in t.split():
+            c = mojibake.classes(w)
+            np.add.at(counts, c[:-2] * mojibake.K**2 + c[1:-1] * mojibake.K + c[2:], 1)
+    return mojibake.Restorer(counts)
+
+
+def test_round_trips_of_all_pairs(trained):
+    # texts of the corpus, garbled by every pair that has their letters: found, and words regained
+    d = corpus_texts()
+    proper = {lang: [t for t in d[(d["lang"] == lang) & d["text"].str.len().between(150, 800)]["text"] if not t.isascii() and trained.text(t)[1] == 0][:2] for lang in ("ru", "de", "fr", "pt")}
+    found = texts = right = words = 0
+    for (read, written), of in zip(mojibake.BYTE_PAIRS, mojibake._MAPS):
+        meant, into = set(of.values()), mojibake._ENCODE[written]
+        for lang, letters in zip(proper, mojibake.ALPHABETS):
+            for t in proper[lang] if all(c in meant for c in letters) else ():
+                bad = "".join(mojibake._DECODE[read][into[c]] if c in into else c for c in t)
+                if bad == t:
+                    continue
+                fixed, n = trained.text(bad)
+                found, texts = found + (n > 0), texts + 1
+                for a, b, c in zip(t.split(" "), bad.split(" "), fixed.split(" ")):
+                    words, right = words + (a != b), right + (a != b and a == c)
+    assert texts > 1000 and found >= 0.96 * texts and right >= 0.85 * words, (found, texts, right, words)
+
+
+def test_a_text_is_judged_alone_as_in_the_corpus(trained):
+    alone = mojibake.Restorer(np.zeros(mojibake.K**3, np.int64))
+    texts = corpus_texts()["text"].tolist()
+    assert sum((trained.text(t)[1] > 0) != (alone.text(t)[1] > 0) for t in texts) <= len(texts) // 500
+
+
 def test_restore_table(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(CLEAN * 3)] + [(100, "Größe".encode().decode("cp1252")[:0] + "GrÃ¶Ã\x9fe", "x"), (101, None, ""), (102, "", "")], "doc_id long, text string, restored string")
     got = mojibake.restore(df, "doc_id", "text").filter("n_garbled > 0").collect()
