@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import math
 import random
 
@@ -36,3 +38,18 @@ def test_small_buffers_change_nothing(spark, monkeypatch):
 
 def test_empty(spark):
     assert topn.top_n(spark.createDataFrame([], SCHEMA), "g", "s", "i", "t").count() == 0
+
+
+def test_rows_under_the_bound_dont_move(spark, monkeypatch):
+    # nine tenths of the rows are one group's: what is ranked is n rows, whichever way bounds travel
+    df = spark.range(200_000, numPartitions=8).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id"))).alias("g"), F.col("id").alias("s"), F.col("id").alias("i"), F.col("id").alias("t"))
+    want = None
+    for most in (200_000, 0):
+        monkeypatch.setattr(topn, "SENT_BOUNDS", most)
+        got = topn.top_n(df, "g", "s", "i", "t", 5)
+        rows = got.filter("g = 'hot'").orderBy("rank_no").collect()
+        assert [r.t for r in rows] == [199_999, 199_998, 199_997, 199_996, 199_995]
+        want = want or got.count()
+        assert got.count() == want == 20_005
+    bounds = df.select(F.col("g").alias("_g"), F.col("s").cast("double").alias("_s"), F.col("i").alias("_i"), F.lit(False).alias("_in")).mapInPandas(topn._bounds(5), "_g string, _b double").groupBy("_g").agg(F.max("_b")).collect()
+    assert [tuple(r) for r in bounds] == [("hot", 199_995.0)]
