@@ -17,8 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Letters of Cyrillic and Greek that look like a Latin one (fixed values).
-CYRILLIC_LIKE = dict(zip("АВЕКМНОРСТУХаеорсухІіЈјЅѕԚԛԜԝ", "ABEKMHOPCTYXaeopcyxIiJjSsQqWw"))
+CYRILLIC_LIKE = dict(zip("АВЕКМНОРСТУХаеорсухІіЈјЅѕԚԛԜԝһԁӏӀ", "ABEKMHOPCTYXaeopcyxIiJjSsQqWwhdlI"))
 GREEK_LIKE = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοναιρυ", "ABEZHIKMNOPTYXovaipu"))
+#: Letters of scripts that no text here is written in, by the Latin ones they look like (fixed values).
+OTHER_LIKE = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏒᏔᏙᏚᏞᏟᏢᏦᏴՕօսհոⲘⲚⲞⲢⲤ", "DRTAJEWMHGZRWVSLCPKBOouhnMNOPC"))
 #: The Russian look-alike of a Latin letter.
 TO_CYRILLIC = dict(zip("ABEKMHOPCTYXaeopcyx", "АВЕКМНОРСТУХаеорсух"))
 #: Compatibility characters that are proper signs of their own.
@@ -74,6 +76,7 @@ def _run(run: str, code: bool) -> str:
             ch = GREEK_LIKE.get(ch, ch)
             if script == "L":
                 ch = CYRILLIC_LIKE.get(ch, ch)
+                ch = OTHER_LIKE.get(ch, ch)
         out.append(ch)
     return "".join(out)
 

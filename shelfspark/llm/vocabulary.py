@@ -112,7 +112,16 @@ class Matcher:
         if self.aliases:
             self.automaton.make_automaton()
         self.sets = [(alias.split(), code) for alias, code in self.aliases.items()]
-        self.words = sorted({w for tokens, _ in self.sets for w in tokens})
+        #: Where each word stands; words by their length, and by their first three letters.
+        self.of_word: dict[str, list[int]] = {}
+        for i, (tokens, _) in enumerate(self.sets):
+            for w in dict.fromkeys(tokens):
+                self.of_word.setdefault(w, []).append(i)
+        self.of_size: dict[int, list[str]] = {}
+        self.of_start: dict[str, list[str]] = {}
+        for w in sorted(self.of_word):
+            self.of_size.setdefault(len(w), []).append(w)
+            self.of_start.setdefault(w[:3], []).append(w)
         self.near: dict[str, dict[str, float]] = {}
         self.done: dict[tuple[str, bool], str] = {}
         self.lines: dict[str, tuple[int, float]] = {}
@@ -136,18 +145,18 @@ class Matcher:
             got = {}
             cut = token.endswith(".")
             bare = token.strip(".")
-            for w in self.words:
-                if bare == w:
-                    got[w] = 1.0
-                elif len(bare) >= 3 and cut and w.startswith(bare):
-                    got[w] = 0.95
-                elif len(bare) >= 4 and len(w) >= 4:
-                    most = 1 if min(len(bare), len(w)) < 8 else 2
-                    d = edits(bare, w, most)
-                    if d <= most:
-                        got[w] = 1.0 - d / max(len(bare), len(w))
-                elif len(bare) == 3 and len(w) == 3 and sorted(bare) == sorted(w):
-                    got[w] = 0.8
+            if cut and len(bare) >= 3:
+                got |= {w: 0.95 for w in self.of_start.get(bare[:3], ()) if w.startswith(bare)}
+            n = len(bare)
+            for size in range(max(4, n - 2), n + 3) if n >= 4 else ():
+                most = 1 if min(n, size) < 8 else 2
+                for w in self.of_size.get(size, ()) if abs(size - n) <= most else ():
+                    if w not in got and (d := edits(bare, w, most)) <= most:
+                        got[w] = 1.0 - d / max(n, size)
+            if n == 3:
+                got |= {w: 0.8 for w in self.of_size.get(3, ()) if sorted(bare) == sorted(w)}
+            if bare in self.of_word:
+                got[bare] = 1.0
             if len(self.near) > 50_000:
                 self.near.clear()
             self.near[token] = got
@@ -156,7 +165,7 @@ class Matcher:
     def _closest(self, plain: str) -> tuple[float, str, int] | None:
         """Best token-set similarity (matched weight over the tokens of both, long words more),
         its entry and the length of its alias."""
-        tokens = plain.split()[:64]
+        tokens = plain.split()
         if not tokens:
             return None
         near = [self._similar_words(t) for t in tokens]
@@ -165,16 +174,15 @@ class Matcher:
             return None
         size = sum(len(t.strip(".")) for t in tokens)
         best = None
-        for alias, code in self.sets:
-            if not any(w in possible for w in alias):
-                continue
+        for at in sorted({i for w in possible for i in self.of_word[w]}):
+            alias, code = self.sets[at]
             used: set[int] = set()
             matched = 0.0
             for w in alias:
-                at = max((i for i in range(len(tokens)) if i not in used and w in near[i]), key=lambda i: near[i][w], default=None)
-                if at is not None:
-                    used.add(at)
-                    matched += near[at][w] * len(w)
+                best_at = max((i for i in range(len(tokens)) if i not in used and w in near[i]), key=lambda i: near[i][w], default=None)
+                if best_at is not None:
+                    used.add(best_at)
+                    matched += near[best_at][w] * len(w)
             whole = sum(map(len, alias))
             extra = size - sum(len(tokens[i].strip(".")) for i in used)
             score = matched / (whole + extra) if whole + extra else 0.0

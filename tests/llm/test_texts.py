@@ -117,7 +117,7 @@ def test_restore_table(spark):
     ("value", "code", "form"),
     [
         ("ＷＸ６９９", True, "WX699"), ("ZR4735844-04СU", True, "ZR4735844-04CU"), ("ЖЛ4603181‑04", True, "ЖЛ4603181-04"), ("LI-ЖЛ1-SР", True, "LI-ЖЛ1-SP"), ("Sillаvеntо", False, "Sillavento"), ("дeрево", False, "дерево"), ("трек­овый", False, "трековый"),
-        ("серый", False, "серый"), ("20 W", False, "20 W"), ("6𝟎0", False, "600"), ("Ζinaviba", False, "Zinaviba"), ("№ 5 м² ½", False, "№ 5 м² ½"), ("9ВТ", False, "9ВТ"), ("с гарантией", False, "с гарантией"), ("", False, ""), ("​", True, ""), ("ВК", True, "BK"),
+        ("серый", False, "серый"), ("20 W", False, "20 W"), ("6𝟎0", False, "600"), ("Ζinaviba", False, "Zinaviba"), ("№ 5 м² ½", False, "№ 5 м² ½"), ("9ВТ", False, "9ВТ"), ("с гарантией", False, "с гарантией"), ("", False, ""), ("​", True, ""), ("ВК", True, "BK"), ("ᎠEКO", False, "DEKO"), ("Lanӏa", False, "Lanla"),
     ],
 )
 def test_forms(value, code, form):
@@ -245,3 +245,10 @@ def test_the_line_that_states(spark, monkeypatch, shard):
     found = sorted(map(tuple, got.collect()))
     assert found == [(1, 2), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (6, 1), (6, 2), (6, 3), (7, 1), *[(i, n) for i in range(9, 14) for n in (1, 2)]]
     assert boilerplate.other_lines(df.limit(0), "product_id", "h", "t", vocabulary.statements(ref, "availability")).count() == 0
+
+
+def test_all_words_of_a_value_count(spark):
+    ref = spark.createDataFrame([("category", "x", " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(80)), None)], "list_name string, ref_code string, label_ru string, label_en string")
+    matcher = vocabulary.Matcher(vocabulary._names(ref, {})["category"])
+    value = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in reversed(range(80)))
+    assert matcher.match(value) == "x" and matcher.match(value[:300]) == "none"
