@@ -90,7 +90,7 @@ def top_n(rows: DataFrame, group: str, score: str, item: str, tie: str, n: int =
     reach = F.col("_b").isNull() | (F.col("_s") >= F.col("_b"))
     of_group = Window.partitionBy("_g")
     if bounds.limit(SENT_BOUNDS + 1).count() <= SENT_BOUNDS:
-        kept = data.join(F.broadcast(bounds), "_g", "left").filter(reach).drop("_b").mapInPandas(_local(n), kinds)
+        kept = data.join(F.broadcast(bounds), "_g", "left").filter(reach).drop("_b").mapInPandas(_local(n), kinds).repartition("_g")  # once for both rankings
     else:
         kept = data.mapInPandas(_local(n), kinds).join(bounds, "_g", "left").filter(reach).drop("_b")
     order = [F.col("_s").desc(), F.col("_t").asc()]
