@@ -11,10 +11,12 @@ list are the nearest earlier and later instants that were known when it was reco
 period it split. Each observation closes at most one row and opens at most two, so the ledger
 holds at most twice as many rows as there are observations.
 
-Hot entities. An entity with more than ``hot_rows`` observations is cut into segments of bounded
-size along the axis of validity. The sweep runs within segments; a neighbour that lies in another
-segment is found afterwards by an as-of search over that segment's record of extremes, so no task
-ever holds more than a segment.
+Hot entities. An entity with more than ``hot_rows`` observations is cut into segments of about
+that size along the axis of validity, ``SEGMENTS`` at most. The sweep runs within segments; a
+neighbour that lies in another segment is found afterwards by an as-of search over that segment's
+record of extremes, so no task ever holds more than a segment. Which entities are hot stays a table;
+nothing of it is collected, and it is sent to the tasks only where AQE finds it small. Finding them
+reads entities and instants once before the observations are read.
 """
 
 from __future__ import annotations
@@ -27,8 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfspark.session import cut_lineage
+
 #: Observations of one entity beyond which its history is cut into segments.
 HOT_ROWS = 200_000
+#: Most segments of one entity: 200 million rows before segments grow.
+SEGMENTS = 1024
 
 
 def _neighbours(at: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,15 +171,16 @@ def _sweep_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_arrays(columns, ["_e", "valid_from", "valid_to", *state, "_by", "recorded_from", "recorded_to", "starts_version"]).to_batches()
 
 
-def _hot(obs: DataFrame, hot_rows: int) -> list:
-    """(entity, cuts) of the entities with more than ``hot_rows`` observations: at most the
-    ``hot_rows``-th part of all rows. The cuts are found for these alone."""
-    counts = obs.groupBy("_e").count().filter(F.col("count") > hot_rows).select("_e")
-    ids = [r["_e"] for r in counts.collect()]
-    if not ids:
-        return []
-    some = obs.filter(F.col("_e").isin(ids)).groupBy("_e").agg(F.approx_percentile("_at", F.lit([i / 64 for i in range(1, 64)])).alias("cuts"))
-    return [(r["_e"], sorted(set(r["cuts"]))) for r in some.collect()]
+def _hot(obs: DataFrame, hot_rows: int) -> DataFrame | None:
+    """(_e, cuts) of the entities with more than ``hot_rows`` observations, at most the
+    ``hot_rows``-th part of all rows; None if there are none."""
+    counts = cut_lineage(obs.groupBy("_e").agg(F.count("*").alias("n")).filter(F.col("n") > hot_rows))
+    if counts.isEmpty():
+        return None
+    some = obs.join(counts, "_e").groupBy("_e").agg(F.first("n").alias("n"), F.approx_percentile("_at", F.lit([i / SEGMENTS for i in range(1, SEGMENTS)]), 100_000).alias("all"))
+    step = F.greatest(F.floor(F.lit(SEGMENTS) * hot_rows / F.col("n")), F.lit(1))
+    kept = F.filter("all", lambda _, i: (i + 1) % step == 0)
+    return cut_lineage(some.select("_e", F.array_sort(F.array_distinct(kept)).alias("cuts")))
 
 
 def _across(near: DataFrame) -> DataFrame:
@@ -184,8 +191,8 @@ def _across(near: DataFrame) -> DataFrame:
     extreme instant recorded up to then, an as-of search over that segment alone.
     """
     firsts = near.groupBy("_e", "_seg").agg(F.min("_seq").alias("f"))
-    firsts = firsts.groupBy("_e").agg(F.collect_list(F.struct("_seg", "f")).alias("segs")).filter(F.size("segs") > 1)  # ≤ 64 each
-    near = near.join(F.broadcast(firsts), "_e", "left")
+    firsts = firsts.groupBy("_e").agg(F.collect_list(F.struct("_seg", "f")).alias("segs")).filter(F.size("segs") > 1)  # SEGMENTS at most
+    near = near.join(firsts, "_e", "left")
     lower = F.array_max(F.transform(F.filter("segs", lambda s: (s["_seg"] < F.col("_seg")) & (s["f"] < F.col("_seq"))), lambda s: s["_seg"]))
     upper = F.array_min(F.transform(F.filter("segs", lambda s: (s["_seg"] > F.col("_seg")) & (s["f"] < F.col("_seq"))), lambda s: s["_seg"]))
     near = near.withColumn("_lo", F.when(F.col("_before_at").isNull(), lower)).withColumn("_hi", F.when(F.col("_after_at").isNull(), upper)).drop("segs")
@@ -204,12 +211,11 @@ def _across(near: DataFrame) -> DataFrame:
     )
 
 
-def _ledger_of_hot(obs: DataFrame, hot: list, state: list[str]) -> DataFrame:
+def _ledger_of_hot(obs: DataFrame, hot: DataFrame, state: list[str]) -> DataFrame:
     """The ledger of entities cut into segments."""
-    cuts = obs.sparkSession.createDataFrame(hot, "_e long, cuts array<long>")
     obs = obs.groupBy("_e", "_seq").agg(F.min(F.struct("_at", *state)).alias("r")).select("_e", "r._at", "_seq", *[F.col(f"r.{c}").alias(c) for c in state])
     seg = F.size(F.filter("cuts", lambda c: c < F.col("_at")))
-    keys = obs.join(F.broadcast(cuts), "_e").select("_e", seg.alias("_seg"), "_at", "_seq")
+    keys = obs.join(hot, "_e").select("_e", seg.alias("_seg"), "_at", "_seq")
     near = keys.repartition("_e", "_seg").sortWithinPartitions("_e", "_seg", "_at", "_seq").mapInArrow(_sweep, "_e long, _seg int, _at long, _seq long, _before_seq long, _before_at long, _after_at long, _same_seq long")
     near = _across(near)
     own = near.select("_e", F.col("_seq").alias("by"), F.col("_at").alias("vf"), F.col("_after_at").alias("vt"), F.col("_seq").alias("rf"))
@@ -248,11 +254,11 @@ def ledger(observations: DataFrame, entity: str, at: str, seq: str, state: list[
     ).dropna(subset=["_e", "_at", "_seq"])
     kinds = {f.name: f.dataType.simpleString() for f in obs.schema}
     hot = _hot(obs.select("_e", "_at"), hot_rows)
-    most = obs.filter(~F.col("_e").isin([e for e, _ in hot])) if hot else obs
+    most = obs if hot is None else obs.join(hot, "_e", "left_anti")
     schema = "_e long, valid_from long, valid_to long, " + "".join(f"{n} {kinds[n]}, " for n in names) + "_by long, recorded_from long, recorded_to long, starts_version boolean"
     rows = most.select("_e", F.lit(0).alias("_seg"), "_at", "_seq", *names).repartition("_e").sortWithinPartitions("_e", "_at", "_seq").mapInArrow(_sweep_whole, schema)
-    if hot:
-        rows = rows.unionByName(_ledger_of_hot(obs.filter(F.col("_e").isin([e for e, _ in hot])), hot, names))
+    if hot is not None:
+        rows = rows.unionByName(_ledger_of_hot(obs.join(hot, "_e", "left_semi"), hot, names))
     return rows.withColumnsRenamed({"_e": entity, "_by": seq} | dict(zip(names, state)))
 
 
