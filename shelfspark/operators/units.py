@@ -1,10 +1,13 @@
 """Quantities recorded in different units.
 
-A unit string ("миллиметров", "cm", "дюйма", "м²") is segmented by dynamic programming over three
-tries: prefixes, roots with their inflections, and exponents. A string may have several readings
-("m" is metre or a bare prefix, "min" minutes or milli-inches); each gets the sum of its pieces'
-scores plus the prior of the field it stands in (a size is a length to the first power), and the
-best reading wins. ``product_sizes`` applies it to the sizes of catalogue cards.
+A unit string ("миллиметров", "cm", "дюйма", "м²", "Вт/м²", "kg·m/s²") is segmented by dynamic
+programming over three tries: prefixes, roots with their inflections, and signed exponents. The
+states are (position, what was read last, dimensions so far); of several ways to a state the one with
+the best score is kept. A string may have several readings ("m" is metre or a bare prefix, "min"
+minutes or milli-inches); each gets the sum of its pieces' scores plus the prior of the field it
+stands in (a size is a length to the first power, from millimetres to metres), and the best reading
+wins. Of one-letter prefixes the case counts (MW, mW); shouted ones ("ММ") are read as small ones
+only with a deduction. ``product_sizes`` applies it to the sizes of catalogue cards.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ ROOTS = {
     ("дюйм", "inch", "zoll", "in", '"', "″", "”", "“", "''", "''"): ("length", 0.0254),
     ("фут", "foot", "feet", "fuss", "fuß", "ft", "'", "′"): ("length", 0.3048),
     ("ярд", "yard", "yd"): ("length", 0.9144),
+    ("mil", "мил", "thou"): ("length", 2.54e-5),
     ("грамм", "gramm", "gram", "г", "гр", "g"): ("mass", 1.0),
     ("фунт", "pound", "lb"): ("mass", 453.59237),
     ("секунд", "second", "sekunde", "с", "сек", "s", "sec"): ("time", 1.0),
@@ -37,16 +41,27 @@ ROOTS = {
     ("ватт", "watt", "вт", "w"): ("power", 1.0),
     ("вольт", "volt", "в", "v"): ("voltage", 1.0),
     ("литр", "liter", "litre", "л", "l"): ("volume", 1.0),
+    ("час", "hour", "stunde", "ч", "h"): ("time", 3600.0),
+    ("ампер", "ampere", "amp", "а", "a"): ("current", 1.0),
     ("кельвин", "kelvin", "к", "k"): ("temperature", 1.0),
     ("люмен", "lumen", "лм", "lm"): ("flux", 1.0),
 }
 ENDINGS = ("", "s", "es", "n", "а", "ов", "ы", "е", "у", "ом", "ам", "ами", "ах", "ей", "и", ".")
-EXPONENTS = {"": 1, "²": 2, "2": 2, "^2": 2, "³": 3, "3": 3, "^3": 3}
+EXPONENTS = {"": 1} | {sign + str(n): int(f"{minus}{n}") for n in (1, 2, 3, 4) for sign, minus in (("", ""), ("^", ""), ("**", ""), ("-", "-"), ("^-", "-"), ("**-", "-")) if (sign, n) != ("", 1)}
+EXPONENTS |= {"¹": 1, "²": 2, "³": 3, "⁴": 4, "⁻¹": -1, "⁻²": -2, "⁻³": -3, "⁻⁴": -4}
+#: Between two units: product, quotient of what stands before and the next.
+OPERATORS = {"·": 1, "*": 1, "×": 1, "⋅": 1, "•": 1, "/": -1, "∕": -1, " per ": -1, " pro ": -1}
+#: What a prefix costs that is read against its case; what the usual scale of a field is worth.
+SHOUTED, SCALE = 0.4, 0.5
 #: Prior of a reading by field: (dimension, exponent) expected there.
 FIELD_PRIORS = {"size": ("length", 1), "weight": ("mass", 1), "power": ("power", 1), "voltage": ("voltage", 1)}
+#: ... and the scale usual there: (least, greatest) factor.
+FIELD_SCALES = {"size": (1e-3, 1.0)}
 
 
 class Unit(NamedTuple):
+    """dimension to the power of exponent; of compound units all dimensions ("length^-2·power"), 1."""
+
     dimension: str
     factor: float
     exponent: int
@@ -77,42 +92,80 @@ def _walk(trie: dict, text: str, start: int) -> Iterator[tuple[int, object]]:
 
 
 @lru_cache(maxsize=1)
-def _tries() -> tuple[dict, dict, dict, dict]:
+def _tries() -> tuple[dict, dict, dict, dict, dict]:
     prefixes: dict[str, list] = {"": [(1.0, 0.0)]}
     for factor, names in PREFIXES.items():
         for n in names:
-            prefixes.setdefault(n.lower() if len(n) > 1 else n, []).append((factor, 0.3 + 0.1 * len(n)))
+            score = 0.3 + 0.1 * len(n)
+            prefixes.setdefault(n, []).append((factor, score))
+            if len(n) == 1 and factor < 1e6 and n.upper() != n:  # mega is never small
+                prefixes.setdefault(n.upper(), []).append((factor, score - (0.0 if factor == 1e3 else SHOUTED)))
+            elif len(n) > 1:
+                for shape in {n.upper(), n.capitalize()} - {n}:
+                    prefixes.setdefault(shape, []).append((factor, score))
     roots: dict[str, list] = {}
     for names, (dimension, factor) in ROOTS.items():
         for n in names:
             roots.setdefault(n, []).append((dimension, factor, 1.0 + 0.5 * len(n), len(n) > 2 and n[-1].isalpha()))
-    return _trie(prefixes), _trie(roots), _trie({e: [e] for e in ENDINGS}), _trie({e: [n] for e, n in EXPONENTS.items()})
+    single = lambda words: _trie({w: [(w, v)] for w, v in words.items()})
+    return _trie(prefixes), _trie(roots), _trie({e: [e] for e in ENDINGS}), single(EXPONENTS), single(OPERATORS)
 
 
 @lru_cache(maxsize=10_000)
 def parse_unit(text: str, field: str | None = None) -> Unit | None:
-    """The best reading of a unit string; None if there is none. Case and brackets don't matter.
-
-    States of the dynamic programme: (position, what was read last); the value is the best score.
-    """
-    t = unicodedata.normalize("NFC", text).strip().strip("()[]").strip().lower()
-    if not t:
+    """The best reading of a unit string; None if there is none. Brackets don't matter, nor case but
+    of one-letter prefixes."""
+    t = unicodedata.normalize("NFC", text).strip().strip("()[]").strip()
+    if not t or len(t) > 100:
         return None
-    prefixes, roots, endings, exponents = _tries()
-    want = FIELD_PRIORS.get(field or "")
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in t)
+    prefixes, roots, endings, exponents, operators = _tries()
+    want, scale = FIELD_PRIORS.get(field or ""), FIELD_SCALES.get(field or "", (0.0, float("inf")))
+    # cells[position]: (phase, sign, dimensions so far, unit being read or, after it, the factor so
+    # far, as the field's scale has a say at the end) -> (score, factor so far)
+    cells: list[dict[tuple, tuple[float, float]]] = [{} for _ in range(len(t) + 1)]
+
+    def reach(at: int, state: tuple, score: float, factor: float) -> None:
+        if state not in cells[at] or cells[at][state][0] < score:
+            cells[at][state] = (score, factor)
+
+    reach(0, (0, 1, (), None), 0.0, 1.0)
+    for at in range(len(t) + 1):
+        for phase in range(5):  # what reads nothing stays at the position
+            for state in [s for s in cells[at] if s[0] == phase]:
+                score, factor = cells[at][state]
+                _, sign, dims, unit = state
+                if phase == 0:
+                    for end, (p, gain) in _walk(prefixes, t, at):
+                        reach(end, (1, sign, dims, (p,)), score + gain, factor)
+                elif phase == 1:
+                    for end, (dimension, f, gain, inflects) in _walk(roots, low, at):
+                        reach(end, (2, sign, dims, (dimension, unit[0] * f, inflects)), score + gain, factor)
+                elif phase == 2:
+                    for end, ending in _walk(endings, low, at):
+                        if not ending or unit[2] or ending == ".":
+                            reach(end, (3, sign, dims, unit[:2]), score + 0.1 * len(ending), factor)
+                elif phase == 3:
+                    for end, (_, power) in _walk(exponents, low, at):
+                        now = dict(dims)
+                        now[unit[0]] = now.get(unit[0], 0) + sign * power
+                        total = factor * unit[1] ** (sign * power)
+                        reach(end, (4, 1, tuple(sorted((d, n) for d, n in now.items() if n)), total), score, total)
+                else:
+                    for end, (_, sign_) in _walk(operators, low, at):
+                        reach(end, (0, sign_, dims, None), score, factor)
     best: Unit | None = None
-    # position after the prefix -> best (factor, score); then root, ending, exponent
-    for p_end, (p_factor, p_score) in _walk(prefixes, t, 0):
-        for r_end, (dimension, r_factor, r_score, inflects) in _walk(roots, t, p_end):
-            for e_end, ending in _walk(endings, t, r_end):
-                if ending and not inflects and ending != ".":
-                    continue
-                for x_end, exponent in _walk(exponents, t, e_end):
-                    if t[x_end:].strip(" .") or (exponent == 1 and x_end != e_end):
-                        continue
-                    score = p_score + r_score + 0.1 * len(ending) + (3.0 if want == (dimension, exponent) else 0.0) - (2.0 if want and want[0] != dimension else 0.0)
-                    if best is None or score > best.score:
-                        best = Unit(dimension, (p_factor * r_factor) ** exponent, exponent, score)
+    for at in range(len(t), 0, -1):
+        if t[at:].strip(" ."):
+            break
+        for (phase, _, dims, _), (score, factor) in cells[at].items():
+            if phase != 4 or not dims:
+                continue
+            score += (3.0 if dims == (want,) else 0.0) - (2.0 if want and want[0] not in [d for d, _ in dims] else 0.0)
+            score += SCALE if want and dims == (want,) and scale[0] <= factor <= scale[1] else 0.0
+            if best is None or score > best.score:
+                name, power = dims[0] if len(dims) == 1 else ("·".join(d if n == 1 else f"{d}^{n}" for d, n in dims), 1)
+                best = Unit(name, factor, power, score)
     return best
 
 

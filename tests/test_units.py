@@ -15,6 +15,19 @@ def test_readings_depend_on_the_field():
     assert parse_unit("шт") is None and parse_unit("") is None and to_mm(1, "кг") is None
 
 
+@pytest.mark.parametrize(
+    ("text", "field", "unit"),
+    [
+        ("MW", None, ("power", 1e6, 1)), ("mW", None, ("power", 1e-3, 1)), ("МВт", None, ("power", 1e6, 1)), ("KW", None, ("power", 1e3, 1)), ("Mm", None, ("length", 1e6, 1)), ("ММ", "size", ("length", 1e-3, 1)), ("MM", "size", ("length", 1e-3, 1)),
+        ("Вт/м²", None, ("length^-2·power", 1.0, 1)), ("кг·м", None, ("length·mass", 1e3, 1)), ("kg·m/s²", None, ("length·mass·time^-2", 1e3, 1)), ("in³", None, ("length", 0.0254**3, 3)), ("mil", "size", ("length", 2.54e-5, 1)), ("cm⁻¹", None, ("length", 100.0, -1)),
+        ("lm per W", None, ("flux·power^-1", 1.0, 1)), ("km/h", None, ("length·time^-1", 1000 / 3600, 1)), ("м^2", "size", ("length", 1.0, 2)), ("квт*ч", None, ("power·time", 3.6e6, 1)), ("mm/mm", None, None), ("/м", None, None), ("м/", None, None), ("x" * 500, None, None),
+    ],
+)
+def test_compound_units(text, field, unit):
+    got = parse_unit(text, field)
+    assert got is None if unit is None else (got.dimension, pytest.approx(got.factor), got.exponent) == unit
+
+
 @pytest.mark.parametrize(
     ("text", "sizes"),
     [
