@@ -52,6 +52,50 @@ def classify(text: Column) -> Column:
     return case.otherwise("unknown")
 
 
+# The classifier of the evaluation corpus. Rules hold for all texts of a product (title,
+# category, address) or for its title and address alone; words in slashes are patterns.
+_ACCESSORY = ("accessor", "komplekt", "коннектор", "connector", "шинопровод", "track rail", "zaglus", "заглуш", "крепеж", "adapter", "адаптер")
+_PENDANT = ("podvesnoy svetilnik", "podvesnye svetilniki", "svetilniki podvesnyie", "подвесной светильник", "pendant light")
+_WALL_LAMP = ("bra ", " bra", "настенн", "wall sconce", "wall lamp", "svetilniki nastenn")
+_TRACK = ("trekovyy svetilnik", "trekovye svetilniki", "трековый светильник", "track spot", "track light")
+#: (family, texts that hold: all, identity or title, any of, none of).
+CONTROLLED: list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], tuple[str, ...]]] = [
+    ("accessory", (("all", _ACCESSORY),), ()),
+    ("unknown", (("identity", ("lyustra", "lyustry", "люстра", "люстры", "chandelier", "profil", "профиль", "led strip")),), ()),
+    ("pendant_single", (("identity", (*_PENDANT, "spoty podvesnye")),), ()),
+    ("decorative_wall", (("all", _WALL_LAMP), ("all", ("dekor", "decor", "bradford"))), ()),
+    ("wall_sconce", (("all", _WALL_LAMP),), ()),
+    ("pendant_single", (("all", _PENDANT),), ("lyustr", "люстр")),
+    ("track_spot", (("all", _TRACK), ("identity", ("spot",))), ()),
+    ("track_spot", (("all", _TRACK), ("title", (r"/(^|[^\p{L}\p{N}_])(15|24|36)[ \t\n]*[°г]/",))), ()),
+    ("unknown", (("all", _TRACK),), ()),
+    ("spot", (("identity", ("/(^| )(spot|spotovyy|спот|споты|спотовый)( |$)/", "directional ceiling")),), ()),
+]
+
+
+def controlled(title: Column, category: Column, url: Column) -> Column:
+    """Family by the rules of the evaluation corpus; names and addresses go before categories."""
+    plain = lambda *cs: F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *[F.coalesce(c, F.lit("")) for c in cs])), "[^a-z0-9а-яё]+", " "))
+    of = {"all": plain(title, category, url), "identity": plain(title, url), "title": F.coalesce(title, F.lit(""))}
+    case = None
+    for family, some, none in CONTROLLED:
+        holds = reduce(lambda a, b: a & b, [_any(of[where], words) for where, words in some])
+        holds = holds & ~_any(of["all"], none) if none else holds
+        case = F.when(holds, family) if case is None else case.when(holds, family)
+    return case.otherwise("unknown")
+
+
+def sql_controlled(title: str, category: str, url: str) -> str:
+    """The same CASE for DuckDB."""
+    quote = lambda w: "'" + w.replace("'", "''") + "'"
+    test = lambda c, w: f"regexp_matches({c}, {quote(w.strip('/'))})" if w[:1] == w[-1:] == "/" else f"contains({c}, {quote(w)})"
+    some_of = lambda c, words: "(" + " OR ".join(test(c, w) for w in words) + ")"
+    column = {"all": "a", "identity": "i", "title": "t"}
+    plain = lambda *cs: "trim(regexp_replace(lower(concat_ws(' ', " + ", ".join(f"coalesce({c}, '')" for c in cs) + ")), '[^a-z0-9а-яё]+', ' ', 'g'))"
+    parts = [f"WHEN {' AND '.join(some_of(column[w], ws) for w, ws in some)}{' AND NOT ' + some_of('a', none) if none else ''} THEN {quote(family)}" for family, some, none in CONTROLLED]
+    return f"(SELECT CASE {' '.join(parts)} ELSE 'unknown' END FROM (SELECT {plain(title, category, url)} AS a, {plain(title, url)} AS i, coalesce({title}, '') AS t))"
+
+
 def relation_table(spark: SparkSession) -> DataFrame:
     """(wanted, offered, relation) of all pairs of families: a lookup for equi-joins."""
     rows = []

@@ -90,3 +90,9 @@ def dimension_mm(c: Column) -> Column:
 def sha_id(columns: list[Column], length: int = 16) -> Column:
     """First characters of the SHA-256 of the texts joined by a bar."""
     return F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, length)
+
+
+def offer_price(c: Column) -> Column:
+    """The first number of an offer's text, blanks between its digits left out, a comma for the point."""
+    found = F.regexp_extract(c, r"[0-9][0-9 \t\n\r\f]*(?:[,.][0-9]{1,3})?", 0)
+    return F.replace(F.regexp_replace(found, r"[ \t\n\r\f]+", ""), F.lit(","), F.lit(".")).try_cast("double")

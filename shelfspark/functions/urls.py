@@ -3,7 +3,7 @@ refuse (blanks, odd signs) are cut by pattern instead, so none becomes null."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*)://)?([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -89,3 +89,13 @@ def contains_sku(url: Column, sku_: Column) -> Column:
     """Whether the normalised address holds the normalised article number."""
     squeeze = lambda c: F.regexp_replace(F.lower(c), "[^0-9a-zа-яё]+", "")
     return (squeeze(sku_) != "") & F.contains(squeeze(url), squeeze(sku_))
+
+
+def selected(rows: DataFrame, url: str, rules: DataFrame) -> DataFrame:
+    """Rows and ``selected``: whether the path of an address matches the pattern of its host; of
+    ``rules`` (suffix, pattern) the one of the longest suffix of the host holds, none selects none.
+    Rows that are equal in all columns stay as many as they are."""
+    keyed = rows.withColumn("_id", F.monotonically_increasing_id())
+    parts = keyed.select("_id", path(F.col(url)).alias("_path"), F.posexplode(host_suffixes(host(F.col(url)))).alias("_n", "suffix"))
+    best = parts.join(rules, "suffix").groupBy("_id").agg(F.min_by(F.struct("_path", "pattern"), "_n").alias("_r"))
+    return keyed.join(best, "_id", "left").withColumn("selected", F.coalesce(F.expr("_r._path rlike _r.pattern"), F.lit(False))).drop("_id", "_r")
