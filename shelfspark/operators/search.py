@@ -17,11 +17,12 @@ def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int) -> DataFrame:
+def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query_text: str, k: int, first_if_empty: bool = False) -> DataFrame:
     """query, key, score, rank_no: the k best rows that hold all words of the query.
 
     Rows keep only words that are asked before anything is shuffled, so what moves follows the
-    hits and not the corpus. Ties go to the smaller key; a query without words finds nothing.
+    hits and not the corpus. Ties go to the smaller key; a query without words finds nothing or, with ``first_if_empty``,
+    the first k rows by key, without a score.
     """
     asked = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct(words(F.col(query_text)))).alias("w"))
     vocabulary = [r["w"] for r in asked.select("w").distinct().limit(MOST_WORDS + 1).collect()]
@@ -40,4 +41,10 @@ def bm25(corpus: DataFrame, key: str, text: str, queries: DataFrame, query_key:
     needed = asked.groupBy("q").agg(F.count("*").alias("need"))
     total = scored.groupBy("q", "k").agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("have"))
     total = total.join(needed, "q").filter("have = need").select("q", "k", "score")
-    return top_k(total, ["q"], [F.col("score").desc(), F.col("k").asc()], k).withColumnsRenamed({"q": query_key, "k": key})
+    best = top_k(total, ["q"], [F.col("score").desc(), F.col("k").asc()], k)
+    if first_if_empty:
+        first = corpus.select(F.col(key).alias("k")).orderBy("k").limit(k).agg(F.array_sort(F.collect_list("k")).alias("ks"))  # one row of k keys
+        silent = queries.select(F.col(query_key).alias("q"), words(F.col(query_text)).alias("w")).filter(F.size("w") == 0)
+        firsts = silent.join(first, how="cross").select("q", F.posexplode("ks").alias("n", "k")).select("q", "k", F.lit(None).cast("double").alias("score"), (F.col("n") + 1).alias("rank_no"))
+        best = best.unionByName(firsts)
+    return best.withColumnsRenamed({"q": query_key, "k": key})

@@ -74,6 +74,8 @@ def test_bm25_needs_all_words(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "бра белое стекло"), (2, "бра чёрное"), (3, None)], "id long, t string")
     asked = spark.createDataFrame([("q", "Бра стекло"), ("none", "")], "q string, w string")
     assert [(r.q, r.id, r.rank_no) for r in search.bm25(docs, "id", "t", asked, "q", "w", 5).collect()] == [("q", 1, 1)]
+    first = search.bm25(docs, "id", "t", asked, "q", "w", 2, first_if_empty=True).filter("q = 'none'").orderBy("rank_no").collect()
+    assert [(r.id, r.rank_no, r.score) for r in first] == [(1, 1, None), (2, 2, None)]
     monkeypatch.setattr(search, "MOST_WORDS", 1)
     assert [(r.q, r.id, r.rank_no) for r in search.bm25(docs, "id", "t", asked, "q", "w", 5).collect()] == [("q", 1, 1)]
 

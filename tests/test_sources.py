@@ -65,3 +65,42 @@ def test_stream_state_survives_a_restart(spark, tmp_path):
     assert sorted(map(tuple, state().read().collect())) == want
     state().merge(df(), 2)
     assert sorted(map(tuple, state().read().collect())) == want
+
+
+def docx(path, tables):
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    rows = lambda t: "".join("<w:tr>" + "".join(f"<w:tc><w:p><w:r><w:t>{c}</w:t></w:r></w:p></w:tc>" for c in r) + "</w:tr>" for r in t)
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body>' + "".join(f"<w:tbl>{rows(t)}</w:tbl>" for t in tables) + "</w:body></w:document>")
+
+
+def test_offers(spark, tmp_path):
+    docx(tmp_path / "a.docx", [[["№", "Наименование товара", "Кол-во", "Цена, руб", "Срок поставки"], ["7", "Бра LED 4000K d120 WX-4514/01", "2 шт", "1 249,50", "склад"], ["", "Люстра, артикул ЖЛ46-03", "", "по запросу", ""], ["9", "", "1", "1", ""]], [["другая"], ["x"]]])
+    docx(tmp_path / "b.docx", [])
+    (tmp_path / "c.docx").write_bytes(b"broken")
+    got = {(r.path.rsplit("/", 1)[-1], r.row_no): r for r in readers.offers(spark, f"{tmp_path}/*.docx").collect()}
+    assert set(got) == {("a.docx", 1), ("a.docx", 2), ("c.docx", None)} and got["c.docx", None].error
+    assert tuple(got["a.docx", 1])[2:] == (7, "Бра LED 4000K d120 WX-4514/01", "WX-4514/01", 2, 1249.5, "склад", None)
+    assert tuple(got["a.docx", 2])[2:] == (2, "Люстра, артикул ЖЛ46-03", None, None, None, None, None)
+
+
+def test_reviews_annotations_domains_and_responses(spark, tmp_path):
+    import json
+
+    entry = {"candidate_set_fingerprint": "f", "candidates": [{"sku": "A", "status": "accepted"}, {"status": "x"}, 5]}
+    (tmp_path / "r.json").write_text(json.dumps({"requirements": {"F-1": entry, "F-2": {"reviews": {"B": {"status": "rejected"}, "C": 1}}, "F-3": 7}}))
+    (tmp_path / "broken.json").write_text("{")
+    (tmp_path / "list.json").write_text("[1]")
+    got = sorted(tuple(r)[:4] for r in readers.reviews(spark, f"{tmp_path}/*.json").collect())
+    assert got == [("F-1", "f", "A", "accepted"), ("F-2", None, "B", "rejected"), ("F-2", None, "C", None)]
+    assert readers.reviews(spark, f"{tmp_path}/missing.json").count() == 0
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "n.json").write_text(json.dumps({"sku_mapping": {"a1": {"requirement_id": "F-1", "confidence": 1, "note": "n"}, "b": 3}, "system_category_mapping": None}))
+    assert [tuple(r) for r in readers.annotations(spark, f"{tmp_path}/notes").collect()] == [("sku_mapping", "a1", "F-1", 1.0, "n")]
+    (tmp_path / "d.txt").write_text(" https://Shop.example/ \n\nb.example/x//\n")
+    assert [r.domain for r in readers.allowed_domains(spark, str(tmp_path / "d.txt")).collect()] == ["shop.example", "b.example/x"]
+    wanted = spark.createDataFrame([("u1",), ("u2",), ("u3",), (None,)], "url string")
+    cache = spark.createDataFrame([("u1", '{"a": 1}'), ("u1", "{"), ("u2", "oops{")], "url string, body string").select(F.sha2("url", 256).alias("key"), "body")
+    assert sorted(map(tuple, readers.cached_responses(wanted, cache).collect()), key=str) == [("u1", '{"a": 1}'), ("u2", None), ("u3", None), (None, None)]
