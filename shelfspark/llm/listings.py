@@ -100,6 +100,7 @@ class Reader:
         self.brands = {_skeleton(w) for b in brands for w in _plain(b).split() if len(w) >= 3}
         self.brand_letters = [(b, set(b)) for b in sorted(self.brands) if len(b) >= 4]
         self.known: dict[str, bool] = {}
+        self.words: dict[str, str | None] = {}
 
     def distinctive(self, word: str) -> bool:
         """Whether a word (as a skeleton) may name a series: no kind, colour, filler or maker."""
@@ -118,6 +119,15 @@ class Reader:
             self.known[word] = got
         return got
 
+    def named(self, word: str) -> str | None:
+        """The skeleton of a word that may name a series; null for all others."""
+        if word not in self.words:
+            if len(self.words) > 300_000:
+                self.words.clear()
+            s = _skeleton(word)
+            self.words[word] = s if _ANY_COLOUR.search(word) is None and self.distinctive(s) else None
+        return self.words[word]
+
     def series(self, name: str, columns: list[str | None], brand: str | None) -> list[str]:
         maker = {_skeleton(w) for w in _WORDS.findall(brand or "")}
         out: dict[str, None] = {}
@@ -125,17 +135,15 @@ class Reader:
             if not text:
                 continue
             for w in _WORDS.findall(_NUMBERED.sub(" ", text)):
-                if _ANY_COLOUR.search(w):
-                    continue
-                s = _skeleton(w)
-                if s not in maker and self.distinctive(s):
+                s = self.named(w)
+                if s is not None and s not in maker:
                     out[s] = None
         return list(out)
 
 
 def colour_of(*texts: str | None) -> str | None:
     for t in texts:
-        if t:
+        if t and _ANY_COLOUR.search(t):
             for name, p in _COLOURS:
                 if p.search(t):
                     return name
