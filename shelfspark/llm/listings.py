@@ -51,6 +51,8 @@ PAIRS = 2_000_000
 LINKED, NEAREST = 0.9995, 0.92
 #: Share of the labelled pairs that are less similar than the least similarity; pairs it takes.
 LEAST, LEAST_PAIRS = 0.0001, 50
+#: Allowance on it, as the sample doesn't hold the least similar pair of all.
+SLACK = 0.05
 SIZE_TOLERANCE_MM = 4
 
 _CODE = regex.compile(r"(?<![\p{L}\d])(\p{Lu}{2,4})[ ]?(\d{6,8})[-/ .]?(\d\d)(\p{Lu}{2})?(-?SP)?(?![\p{L}\d])")
@@ -271,6 +273,14 @@ def _sums(bags: list[np.ndarray], weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def _by_key(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys and the sums of their rows."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(rows[order], first, axis=0)
+
+
 def train(bags: list[np.ndarray], labels: list[str], steps: int = 300, batch: int = 192, seed: int = 7) -> np.ndarray:
     """Contrastive training: two listings of one code attract, the batch's others repel. Batches
     hold neighbouring codes, so variants of one model are the hard negatives."""
@@ -298,9 +308,7 @@ def train(bags: list[np.ndarray], labels: list[str], steps: int = 300, batch: in
         for bag, v, grad in ((left, va, ga), (right, vb, gb)):
             grad = grad - (grad * v).sum(1, keepdims=True) * v  # along the unit sphere
             sizes = np.array([len(b) for b in bag])
-            flat, places = np.unique(np.concatenate(bag), return_inverse=True)
-            total = np.zeros((len(flat), DIM), np.float32)
-            np.add.at(total, places, np.repeat((grad / np.sqrt(sizes)[:, None]).astype(np.float32), sizes, axis=0))
+            flat, total = _by_key(np.concatenate(bag), np.repeat((grad / np.sqrt(sizes)[:, None]).astype(np.float32), sizes, axis=0))
             scale[flat, 0] += (total**2).sum(1)
             weights[flat] -= rate * total / np.sqrt(scale[flat])
     return weights
@@ -313,7 +321,8 @@ def kmeans(vectors: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.nd
     for _ in range(rounds):
         nearest = np.concatenate([(b @ centres.T).argmax(1) for b in np.array_split(vectors, max(1, len(vectors) // 4096))])
         sums = np.zeros_like(centres)
-        np.add.at(sums, nearest, vectors)
+        held, total = _by_key(nearest, vectors)
+        sums[held] = total
         full = np.linalg.norm(sums, axis=1) > 1e-9
         centres[full] = sums[full] / np.linalg.norm(sums[full], axis=1, keepdims=True)
     return centres
@@ -356,11 +365,11 @@ def tune_probes(vectors: np.ndarray, centres: np.ndarray, agreeing, queries: int
 
 def least_similarity(vectors: np.ndarray, codes: list[str | None]) -> float:
     """The ``LEAST`` quantile of the similarities of labelled pairs (a code's first row and its
-    others); -1, which forbids nothing, if there are fewer than ``LEAST_PAIRS``."""
+    others), less ``SLACK``; -1, which forbids nothing, if there are fewer than ``LEAST_PAIRS``."""
     first: dict[str, int] = {}
     pairs = [(first.setdefault(c, i), i) for i, c in enumerate(codes) if isinstance(c, str)]
     a, b = (np.array([p[n] for p in pairs if p[0] != p[1]], int) for n in (0, 1))
-    return float(np.quantile((vectors[a] * vectors[b]).sum(1), LEAST)) if len(a) >= LEAST_PAIRS else -1.0
+    return float(np.quantile((vectors[a] * vectors[b]).sum(1), LEAST)) - SLACK if len(a) >= LEAST_PAIRS else -1.0
 
 
 class Index(NamedTuple):
@@ -399,12 +408,20 @@ def fit(listings: DataFrame, rows: int, sample: int = SAMPLE_ROWS) -> Index:
     return Index(weights, centres, (centres @ cells.T).argmax(1), *tuned, least_similarity(vectors, got["code"].tolist()))
 
 
+_SAME = ["title", "code", "spare", "size", "height", "watt", "colour", "series"]
+
+
+def _keyed(listings: DataFrame) -> DataFrame:
+    """The listings with two hashes of all their values, by which copies are told."""
+    return listings.withColumns({"_c1": F.xxhash64(*_SAME), "_c2": F.xxhash64(F.lit(7), *_SAME)})
+
+
 def encode(listings: DataFrame, index: Index) -> DataFrame:
     """Vectors of distinct listings (half precision, and in bytes), the list and cell they are kept
     in, the lists they probe (``asked``), and those of them where their pairs are compared, by cell
     (``asks``): of two mutual neighbours the one of the lesser list goes to the other's. rid is the
     smallest id of listings that are copies of one another."""
-    distinct = listings.groupBy("title", "code", "spare", "size", "height", "watt", "colour", "series").agg(F.min("product_id").alias("rid"))
+    distinct = _keyed(listings).groupBy("_c1", "_c2").agg(F.min_by(F.struct("product_id", *_SAME), "product_id").alias("_r")).select(F.col("_r.product_id").alias("rid"), *[F.col(f"_r.{c}").alias(c) for c in _SAME])
     spread = distinct.sparkSession.sparkContext.broadcast(index)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -420,11 +437,12 @@ def encode(listings: DataFrame, index: Index) -> DataFrame:
                 of = ix.cell[later]
                 asks.append([{"cell": int(c), "lists": later[of == c]} for c in np.unique(of)])
             small = np.round(v * 127).astype(np.int8)
-            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "bytes": [x.tobytes() for x in small], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), "asked": list(lists), "asks": asks})
+            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "bytes": [x.tobytes() for x in small], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), "asked": list(lists), "asks": asks, **{c: pdf[c] for c in _SAME[1:]}})
 
-    vectors = distinct.select("rid", "title", "code", "size", "watt", "colour", "series", "spare").mapInPandas(run, "rid bigint, vec binary, bytes binary, list int, cell int, asked array<int>, asks array<struct<cell:int,lists:array<int>>>")
-    keys = distinct.select("rid", F.when(F.col("code").isNotNull(), F.xxhash64("code")).alias("code_h"), "spare", "size", "height", "watt", "colour", F.transform("series", lambda s: F.xxhash64(s)).alias("series"))
-    return vectors.join(keys, "rid")
+    kinds = "code string, spare boolean, size double, height double, watt double, colour string, series array<string>"
+    vectors = distinct.mapInPandas(run, f"rid bigint, vec binary, bytes binary, list int, cell int, asked array<int>, asks array<struct<cell:int,lists:array<int>>>, {kinds}")
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in ("size", "height", "watt")}  # pandas knows no null number
+    return vectors.withColumns(known | {"code_h": F.when(F.col("code").isNotNull(), F.xxhash64("code")), "series": F.transform("series", lambda x: F.xxhash64(x))}).drop("code")
 
 
 def _agree(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
@@ -692,12 +710,8 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     found = cut_lineage(all_links(encoded, index.least))
     roots = components(same_values(encoded).unionByName(found.filter("sure").select("a", "b")).distinct())
     roots = join_lacking(found.filter("not sure").select("a", "b").distinct(), roots)
-    same = ["title", "code", "spare", "size", "height", "watt", "colour", "series"]
-    first = listings.groupBy(*same).agg(F.min("product_id").alias("rid"))
-    on = F.lit(True)
-    for c in same:
-        on = on & listings[c].eqNullSafe(first[c])
-    of = listings.join(first, on).select("product_id", "rid")
+    of = _keyed(listings).select("product_id", "_c1", "_c2")
+    of = of.join(of.groupBy("_c1", "_c2").agg(F.min("product_id").alias("rid")), ["_c1", "_c2"]).select("product_id", "rid")
     return of.join(roots, of["rid"] == roots["id"], "left").select("product_id", F.coalesce("root", "rid").alias("group_id"))
 
 
