@@ -418,9 +418,7 @@ def _keyed(listings: DataFrame) -> DataFrame:
 
 def encode(listings: DataFrame, index: Index) -> DataFrame:
     """Vectors of distinct listings (half precision, and in bytes), the list and cell they are kept
-    in, the lists they probe (``asked``), and those of them where their pairs are compared, by cell
-    (``asks``): of two mutual neighbours the one of the lesser list goes to the other's. rid is the
-    smallest id of listings that are copies of one another."""
+    in, and their values. rid is the smallest id of listings that are copies of one another."""
     distinct = _keyed(listings).groupBy("_c1", "_c2").agg(F.min_by(F.struct("product_id", *_SAME), "product_id").alias("_r")).select(F.col("_r.product_id").alias("rid"), *[F.col(f"_r.{c}").alias(c) for c in _SAME])
     spread = distinct.sparkSession.sparkContext.broadcast(index)
 
@@ -428,21 +426,69 @@ def encode(listings: DataFrame, index: Index) -> DataFrame:
         ix = spread.value
         for pdf in frames:
             v = _sums(_bags(pdf), ix.weights)
-            near = v @ ix.centres.T
+            home = (v @ ix.centres.T).argmax(1)
+            small = np.round(v * 127).astype(np.int8)
+            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "bytes": [x.tobytes() for x in small], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), **{c: pdf[c] for c in _SAME[1:]}})
+
+    kinds = "code string, spare boolean, size double, height double, watt double, colour string, series array<string>"
+    vectors = distinct.mapInPandas(run, f"rid bigint, vec binary, bytes binary, list int, cell int, {kinds}")
+    known = {c: F.when(~F.isnan(c), F.col(c)) for c in ("size", "height", "watt")}  # pandas knows no null number
+    return vectors.withColumns(known | {"code_h": F.when(F.col("code").isNotNull(), F.xxhash64("code")), "series": F.transform("series", lambda x: F.xxhash64(x))}).drop("code")
+
+
+def with_lists(vectors: DataFrame, index: Index) -> DataFrame:
+    """The vectors with the lists they probe (``asked``), and those of them where their pairs are
+    compared, by cell (``asks``): of two mutual neighbours the one of the lesser list goes to the
+    other's."""
+    spread = vectors.sparkSession.sparkContext.broadcast(index)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.select("rid", "vec", "list").schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ix = spread.value
+        for pdf in frames:
+            near = _floats(pdf["vec"]) @ ix.centres.T
+            near[np.arange(len(near)), pdf["list"].to_numpy()] = 2  # its own list, come what may
             lists = np.sort(np.argpartition(-near, ix.probes - 1, axis=1)[:, : ix.probes], axis=1).astype(np.int32)
-            home = near.argmax(1)
             asks = []
-            for row, own in zip(lists, home):
+            for row, own in zip(lists, pdf["list"]):
                 later = row[row >= own]
                 of = ix.cell[later]
                 asks.append([{"cell": int(c), "lists": later[of == c]} for c in np.unique(of)])
-            small = np.round(v * 127).astype(np.int8)
-            yield pd.DataFrame({"rid": pdf["rid"], "vec": [x.tobytes() for x in v.astype(np.float16)], "bytes": [x.tobytes() for x in small], "list": home.astype(np.int32), "cell": ix.cell[home].astype(np.int32), "asked": list(lists), "asks": asks, **{c: pdf[c] for c in _SAME[1:]}})
+            yield pdf[["rid", "vec", "list"]].assign(asked=list(lists), asks=asks)
 
-    kinds = "code string, spare boolean, size double, height double, watt double, colour string, series array<string>"
-    vectors = distinct.mapInPandas(run, f"rid bigint, vec binary, bytes binary, list int, cell int, asked array<int>, asks array<struct<cell:int,lists:array<int>>>, {kinds}")
-    known = {c: F.when(~F.isnan(c), F.col(c)) for c in ("size", "height", "watt")}  # pandas knows no null number
-    return vectors.withColumns(known | {"code_h": F.when(F.col("code").isNotNull(), F.xxhash64("code")), "series": F.transform("series", lambda x: F.xxhash64(x))}).drop("code")
+    asked = vectors.select("rid", "vec", "list").mapInPandas(run, f"{schema}, asked array<int>, asks array<struct<cell:int,lists:array<int>>>")
+    return vectors.join(asked.select("rid", "asked", "asks"), "rid")
+
+
+def _floats(vectors: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(vectors), np.float16).reshape(len(vectors), -1).astype(np.float32)
+
+
+def _nearest(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """query_id, rid of the k nearest of every row of ``asked`` in all ``vectors``, by brute force."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"rid": pdf["rid"], "v": list(_floats(pdf["vec"]))})
+
+    floats = lambda df: df.select("rid", "vec").mapInPandas(run, "rid bigint, v array<float>")
+    return search(floats(vectors), floats(asked), "rid", "v", k + 1).filter("query_id <> rid").select("query_id", "rid")
+
+
+def check_probes(vectors: DataFrame, index: Index, queries: int = 500, k: int = 10) -> Index:
+    """The index with as many lists to probe as hold ``NEAREST`` of the exact k nearest, in all rows,
+    of ``queries`` rows in the order of a hash; at least as many as were tuned."""
+    asked = cut_lineage(vectors.select("rid", "vec").orderBy(F.xxhash64("rid"), "rid").limit(queries))
+    near = _nearest(vectors, asked, k).join(vectors.select("rid", "list"), "rid").select("query_id", "list").toPandas()  # queries * (k + 1) rows
+    if near.empty:
+        return index
+    of = asked.toPandas()
+    row = pd.Series(np.arange(len(of)), of["rid"]).loc[near["query_id"]].to_numpy()
+    place = _place(_floats(of["vec"])[row], index.centres, near["list"].to_numpy())
+    probes = index.probes
+    while probes < len(index.centres) and (place < probes).mean() < NEAREST:
+        probes += 1
+    return index._replace(probes=probes, nearest=float((place < probes).mean()))
 
 
 def _agree(a: dict[str, np.ndarray], i: np.ndarray, b: dict[str, np.ndarray], j: np.ndarray) -> np.ndarray:
@@ -652,17 +698,11 @@ def all_links(encoded: DataFrame, least: float = -1.0) -> DataFrame:
     return members.groupBy("cell", "part", "band").cogroup(asking.groupBy("cell", "part", "band")).applyInPandas(compare, "a bigint, b bigint, sure boolean")
 
 
-def recall(encoded: DataFrame, index: Index, k: int = 10) -> DataFrame:
+def recall(encoded: DataFrame, k: int = 10) -> DataFrame:
     """(queries, neighbours, found, recall): of the exact k nearest of every listing whose id is
     divisible by 100, by brute force over all listings, those in the lists it asks."""
     flat = encoded.select("rid", "list", "asked", "vec")
-
-    def floats(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"rid": pdf["rid"], "v": [np.frombuffer(x, np.float16).astype(np.float32) for x in pdf["vec"]]})
-
-    vectors = flat.select("rid", "vec").mapInPandas(floats, "rid bigint, v array<float>")
-    near = search(vectors, vectors.filter("rid % 100 = 0"), "rid", "v", k + 1).filter("query_id <> rid and rank_no <= " + str(k + 1))
+    near = _nearest(flat, flat.filter("rid % 100 = 0"), k)
     at = near.join(flat.select("rid", "list"), "rid").join(flat.select(F.col("rid").alias("query_id"), "asked"), "query_id")
     return at.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), F.count_if(F.array_contains("asked", F.col("list"))).alias("found")).withColumn("recall", F.round(F.try_divide("found", "neighbours"), 4))
 
@@ -706,7 +746,8 @@ def groups(products: DataFrame, suppliers: DataFrame) -> DataFrame:
     """
     listings = cut_lineage(complete(cut_lineage(listing_features(products, suppliers))))  # read twice each
     index = fit(listings, listings.count())
-    encoded = cut_lineage(encode(listings, index))
+    vectors = cut_lineage(encode(listings, index))
+    encoded = cut_lineage(with_lists(vectors, check_probes(vectors, index)))
     found = cut_lineage(all_links(encoded, index.least))
     roots = components(same_values(encoded).unionByName(found.filter("sure").select("a", "b")).distinct())
     roots = join_lacking(found.filter("not sure").select("a", "b").distinct(), roots)

@@ -37,7 +37,8 @@ def p4_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = cut_lineage(listings.listing_features(spread(table(spark, sf_dir, "catalog_products")), table(spark, sf_dir, "supplier_capability")))
     found = cut_lineage(listings.complete(read))
     index = listings.fit(found, found.count())
-    return listings.recall(cut_lineage(listings.encode(found, index)), index)
+    vectors = cut_lineage(listings.encode(found, index))
+    return listings.recall(cut_lineage(listings.with_lists(vectors, listings.check_probes(vectors, index))))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,3 +172,17 @@ def test_missing_value_is_no_veto_where_one_product_is_left(spark):
         roots = listings.components(listings.same_values(rows).unionByName(found.filter("sure").select("a", "b")))
         got = listings.join_lacking(found.filter("not sure").select("a", "b"), roots)
         assert {r.id: r.root for r in got.collect()} == want
+
+
+def test_probes_are_checked_against_all_rows(spark):
+    # half of the neighbours lie in the second nearest list, which one probe doesn't hold
+    centres = np.eye(4, dtype=np.float32)
+    index = listings.Index(np.zeros((1, 4), np.float32), centres, np.zeros(4, int), 1, 1.0, 1.0, -1.0)
+    v = lambda a, b: np.array([a, b, 0, 0], np.float16)
+    rows = [(i, v(0.8, 0.6).tobytes(), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "rid long, vec binary, list int").withColumn("cell", listings.F.lit(0))
+    checked = listings.check_probes(df, index, queries=3, k=10)
+    assert checked.probes == 2 and checked.nearest == 1.0
+    got = {r.rid: (r.asked, [(a.cell, a.lists) for a in r.asks]) for r in listings.with_lists(df, checked).collect()}
+    assert got[0] == ([0, 1], [(0, [0, 1])]) and got[5] == ([0, 1], [(0, [1])])
+    assert listings.check_probes(df.limit(0), index).probes == 1
