@@ -53,6 +53,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 _shipped: set[str] = set()
+_folders: list[tempfile.TemporaryDirectory] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -64,7 +65,9 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent
     if root.parent.suffix == ".zip" or not root.is_dir():
         return  # running from a shipped copy
-    path = Path(tempfile.mkdtemp(prefix="shelfspark-")) / "shelfspark.zip"
+    folder = tempfile.TemporaryDirectory(prefix="shelfspark-")
+    _folders.append(folder)  # gone when the driver ends
+    path = Path(folder.name) / "shelfspark.zip"
     with zipfile.ZipFile(path, "w") as z:
         for source in sorted(root.rglob("*.py")):
             z.write(source, source.relative_to(root.parent))
