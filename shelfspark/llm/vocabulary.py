@@ -233,11 +233,29 @@ class Matcher:
         return got
 
 
-def _names(reference: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]] | None) -> dict[str, list[tuple[str, str]]]:
-    """(entry, name) pairs of every list: codes, labels and aliases."""
-    entries = reference.select("list_name", "ref_code", "label_ru", "label_en").limit(100_001).collect()
-    if len(entries) > 100_000:
-        raise ValueError("the reference list is longer than a list that is sent to every worker may be")
+Aliases = dict[str, dict[str, tuple[str, ...]]] | DataFrame | None
+#: Most rows of a list, or of its aliases, that are sent to every worker.
+MOST_NAMES = 100_000
+
+
+def _short(table: DataFrame) -> list:
+    """The rows of a list kept by people; refused beyond ``MOST_NAMES``."""
+    rows = table.limit(MOST_NAMES + 1).collect()
+    if len(rows) > MOST_NAMES:
+        raise ValueError("the list is longer than a list that is sent to every worker may be")
+    return rows
+
+
+def _names(reference: DataFrame, aliases: Aliases) -> dict[str, list[tuple[str, str]]]:
+    """(entry, name) pairs of every list: codes, labels and aliases. Aliases are a table
+    (list_name, ref_code, alias) or nested by list and entry; None: ``ALIASES``."""
+    entries = _short(reference.select("list_name", "ref_code", "label_ru", "label_en"))
+    if isinstance(aliases, DataFrame):
+        more: dict[str, dict[str, tuple[str, ...]]] = {}
+        for r in sorted(_short(aliases.select("list_name", "ref_code", "alias")), key=lambda r: (r["list_name"] or "", r["ref_code"] or "", r["alias"] or "")):
+            of = more.setdefault(r["list_name"], {})
+            of[r["ref_code"]] = (*of.get(r["ref_code"], ()), r["alias"])
+        aliases = more
     aliases = ALIASES if aliases is None else aliases
     names: dict[str, list[tuple[str, str]]] = {}
     for r in sorted(entries, key=lambda r: (r["list_name"] or "", r["ref_code"] or "")):
@@ -247,7 +265,7 @@ def _names(reference: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]]
     return names
 
 
-def statements(reference: DataFrame, list_name: str, aliases: dict[str, dict[str, tuple[str, ...]]] | None = None) -> Callable[[], Callable[[str], float]]:
+def statements(reference: DataFrame, list_name: str, aliases: Aliases = None) -> Callable[[], Callable[[str], float]]:
     """Makes, in a task, a function that says how surely a line states an entry of the list; 0.0:
     not at all, up to 1: similar, above: embedded."""
     names = _names(reference, aliases).get(list_name, [])
@@ -259,7 +277,7 @@ def statements(reference: DataFrame, list_name: str, aliases: dict[str, dict[str
     return make
 
 
-def map_values(rows: DataFrame, key: str, fields: dict[str, tuple[str, bool]], reference: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]] | None = None) -> DataFrame:
+def map_values(rows: DataFrame, key: str, fields: dict[str, tuple[str, bool]], reference: DataFrame, aliases: Aliases = None) -> DataFrame:
     """key, field_name, ref_code for every non-null value of ``fields`` (column to: list, path).
 
     ``reference`` (list_name, ref_code, label_ru, label_en) is a short list kept by people; it is

@@ -252,3 +252,11 @@ def test_all_words_of_a_value_count(spark):
     matcher = vocabulary.Matcher(vocabulary._names(ref, {})["category"])
     value = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in reversed(range(80)))
     assert matcher.match(value) == "x" and matcher.match(value[:300]) == "none"
+
+
+def test_aliases_may_be_a_table(spark):
+    ref = spark.createDataFrame(REFERENCE, "list_name string, ref_code string, label_ru string, label_en string")
+    more = spark.createDataFrame([("category", "spot", "punktstrahler"), ("category", "gone", "x"), (None, None, None)], "list_name string, ref_code string, alias string")
+    df = spark.createDataFrame([(1, "Punktstrahler weiß"), (2, "x"), (3, "спот")], "product_id long, category string")
+    got = {r.product_id: r.ref_code for r in vocabulary.map_values(df, "product_id", {"category": ("category", False)}, ref, more).collect()}
+    assert got == {1: "spot", 2: "none", 3: "spot"}
