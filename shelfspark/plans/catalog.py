@@ -258,7 +258,8 @@ def plan_unique(spark, d):
 @query("a7_hydration_counts", f"SELECT requirement_id, supplier, count(*) AS selected FROM ({_WHOLE_PLAN}) GROUP BY ROLLUP (requirement_id, supplier)")
 def hydration_counts(spark, d):
     """Of the whole plan."""
-    return _whole_plan(spark, d).rollup("requirement_id", "supplier").agg(F.count("*").alias("selected"))
+    counts = relevance.hydration_counts(table(spark, d, "requirements"), inventory_upsert(spark, d))
+    return counts.rollup("requirement_id", "supplier").agg(F.sum("selected").alias("selected"))
 
 
 @query("w3_wide_pool", """SELECT requirement_id, candidate_id, row_number() OVER w AS rank_no FROM scored_candidates WHERE requirement_id IS NOT NULL AND overall_score IS NOT NULL AND NOT isnan(overall_score)
