@@ -245,14 +245,10 @@ def hydration_plan(spark, d):
 _WHOLE_PLAN = _PLAN.replace(f" WHERE {_REQ}", "")
 
 
-def _whole_plan(spark, d):
-    return relevance.hydration_plan(table(spark, d, "requirements"), inventory_upsert(spark, d))
-
-
 @query("w2_plan_unique", f"SELECT canonical_url, max(requirement_id) AS requirement_id FROM ({_WHOLE_PLAN}) GROUP BY canonical_url")
 def plan_unique(spark, d):
     """The addresses of the whole plan, each once; the last requirement that chose it holds."""
-    return _whole_plan(spark, d).groupBy("canonical_url").agg(F.max("requirement_id").alias("requirement_id"))
+    return relevance.plan_addresses(table(spark, d, "requirements"), inventory_upsert(spark, d))
 
 
 @query("a7_hydration_counts", f"SELECT requirement_id, supplier, count(*) AS selected FROM ({_WHOLE_PLAN}) GROUP BY ROLLUP (requirement_id, supplier)")
